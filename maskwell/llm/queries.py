@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwell.llm import glyphs, splits
+from maskwell.llm import glyphs, names, splits
+from maskwell.runtime import stage
 from maskwell.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,3 +59,23 @@ def p4_consistent(spark: SparkSession, base: str) -> DataFrame:
     a = glyphs.consistent_text(pages).select(F.lit("page").alias("record_kind"), F.col("page_id").cast("string").alias("record_id"), "consistent_text")
     b = glyphs.consistent_text(names).select(F.lit("mention"), "entity_id", "consistent_text")
     return a.union(b).distinct()
+
+
+def _resolved(spark: SparkSession, base: str) -> DataFrame:
+    rows = table(spark, base, "syn_hybrid", "entity_id", "matter_id", "entity_type", "text")
+    named = rows.select(F.col("matter_id").alias("matter"), F.col("entity_type").alias("etype"), F.col("entity_id").alias("id"), "text")
+    return names.spelling_entities(named)
+
+
+@query
+def p1_found(spark: SparkSession, base: str) -> DataFrame:
+    resolved, _ = stage(_resolved(spark, base), "resolved")
+    groups = table(spark, base, "link_group", "group_id", "matter_id", "members")
+    mention = names.same_entity_pairs(resolved).select(F.lit("mention").alias("record_kind"), "id_a", "id_b")
+    group = names.same_entity_pairs(names.group_entities(groups, resolved)).select(F.lit("group"), "id_a", "id_b")
+    return mention.union(group)
+
+
+@query
+def p1_entities(spark: SparkSession, base: str) -> DataFrame:
+    return _resolved(spark, base).select(F.col("matter").alias("matter_id"), F.col("etype").alias("entity_type"), F.col("id").alias("entity_id"), "entity").distinct()

@@ -70,7 +70,7 @@ def hash_to_min(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int =
     for _ in range(max_rounds):
         low = state.groupBy("node").agg(F.min("member").alias("low"))
         both = state.join(low, "node")
-        nxt = both.select(F.explode(F.array(F.struct(F.col("low").alias("node"), "member"), F.struct("node", F.col("low").alias("member")))).alias("r"))
+        nxt = both.select(F.explode(F.array(F.struct(F.col("low").alias("node"), "member"), F.struct(F.col("member").alias("node"), F.col("low").alias("member")))).alias("r"))
         nxt, new_path = stage(nxt.select("r.*").distinct(), "hm")
         sign = nxt.agg(F.count("*"), F.sum(F.xxhash64("node", "member").cast("decimal(38,0)"))).first()
         drop_staged(spark, path)
