@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwell.llm import glyphs, names, splits
+from maskwell.llm import glyphs, leaks, names, splits
 from maskwell.runtime import stage
 from maskwell.sources.tables import table
 
@@ -79,3 +79,15 @@ def p1_found(spark: SparkSession, base: str) -> DataFrame:
 @query
 def p1_entities(spark: SparkSession, base: str) -> DataFrame:
     return _resolved(spark, base).select(F.col("matter").alias("matter_id"), F.col("etype").alias("entity_type"), F.col("id").alias("entity_id"), "entity").distinct()
+
+
+@query
+def p6_found(spark: SparkSession, base: str) -> DataFrame:
+    docs = table(spark, base, "documents", "doc_id", "text")
+    items = table(spark, base, "eval_item", "item_id", "text")
+    return leaks.leaked_items(docs, items)
+
+
+@query
+def p6_items(spark: SparkSession, base: str) -> DataFrame:
+    return p6_found(spark, base).groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"))
