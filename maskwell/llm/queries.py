@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwell.llm import glyphs, leaks, names, splits
+from maskwell.llm import glyphs, leaks, names, splits, stuffing
 from maskwell.runtime import stage
 from maskwell.sources.tables import table
 
@@ -91,3 +91,14 @@ def p6_found(spark: SparkSession, base: str) -> DataFrame:
 @query
 def p6_items(spark: SparkSession, base: str) -> DataFrame:
     return p6_found(spark, base).groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"))
+
+
+@query
+def p8_found(spark: SparkSession, base: str) -> DataFrame:
+    return stuffing.stuffed_documents(table(spark, base, "documents", "doc_id", "text")).select("doc_id").distinct()
+
+
+@query
+def p8_coherence(spark: SparkSession, base: str) -> DataFrame:
+    docs = table(spark, base, "documents", "doc_id", "text")
+    return stuffing.stuffing_share(docs).select(F.col("h").alias("text_md5"), "share")
