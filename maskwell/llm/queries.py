@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwell.llm import glyphs, leaks, names, splits, stuffing
+from maskwell.llm import glyphs, leaks, names, scans, splits, stuffing
 from maskwell.runtime import stage
 from maskwell.sources.tables import table
 
@@ -102,3 +102,12 @@ def p8_found(spark: SparkSession, base: str) -> DataFrame:
 def p8_coherence(spark: SparkSession, base: str) -> DataFrame:
     docs = table(spark, base, "documents", "doc_id", "text")
     return stuffing.stuffing_share(docs).select(F.col("h").alias("text_md5"), "share")
+
+
+@query
+def p5_found(spark: SparkSession, base: str) -> DataFrame:
+    pages = table(spark, base, "page_extraction", "page_id", "document_id", "page", "method", "text")
+    furniture, hyphens, wrong = scans.read_scans(pages)
+    out = furniture.select("page_id", F.lit("furniture").alias("noise_kind"), F.col("line").alias("pos"))
+    out = out.union(hyphens.select("page_id", F.lit("hyphen"), "line")).union(wrong.select("page_id", F.lit("misread"), "pos"))
+    return out.distinct()
