@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwell.llm import glyphs, leaks, names, scans, splits, stuffing
+from maskwell.llm import glyphs, leaks, names, personal, scans, splits, stuffing
 from maskwell.runtime import stage
 from maskwell.sources.tables import table
 
@@ -111,3 +111,24 @@ def p5_found(spark: SparkSession, base: str) -> DataFrame:
     out = furniture.select("page_id", F.lit("furniture").alias("noise_kind"), F.col("line").alias("pos"))
     out = out.union(hyphens.select("page_id", F.lit("hyphen"), "line")).union(wrong.select("page_id", F.lit("misread"), "pos"))
     return out.distinct()
+
+
+def _lexicon(spark: SparkSession, base: str) -> personal.Lexicon:
+    gold = table(spark, base, "gold_mention", "text", "entity_type").filter("entity_type = 'PERSON'").select("text")
+    syn = table(spark, base, "syn_hybrid", "text", "entity_type").filter("entity_type = 'PERSON'").select("text")
+    return personal.name_lexicon(gold.union(syn), table(spark, base, "page_extraction", "text"))
+
+
+@query
+def p2_found(spark: SparkSession, base: str) -> DataFrame:
+    lex = _lexicon(spark, base)
+    pages = personal.personal_spans(table(spark, base, "page_extraction", "page_id", "text"), "page_id", "text", lex)
+    edits = table(spark, base, "edit", "edit_id", "replacement", "entity_type")
+    edits = personal.personal_spans(edits, "edit_id", "replacement", lex, F.col("entity_type"))
+    return pages.select(F.lit("page").alias("record_kind"), "*").union(edits.select(F.lit("edit"), "*"))
+
+
+@query
+def p2_masked(spark: SparkSession, base: str) -> DataFrame:
+    pages = table(spark, base, "page_extraction", "page_id", "text")
+    return personal.masked_text(pages, "text", _lexicon(spark, base)).select("page_id", "masked_text").distinct()
