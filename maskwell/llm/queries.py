@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwell.llm import glyphs, leaks, names, personal, scans, splits, stuffing
+from maskwell.llm import glyphs, leaks, mixing, names, personal, scans, splits, stuffing
 from maskwell.runtime import stage
 from maskwell.sources.tables import table
 
@@ -132,3 +132,14 @@ def p2_found(spark: SparkSession, base: str) -> DataFrame:
 def p2_masked(spark: SparkSession, base: str) -> DataFrame:
     pages = table(spark, base, "page_extraction", "page_id", "text")
     return personal.masked_text(pages, "text", _lexicon(spark, base)).select("page_id", "masked_text").distinct()
+
+
+@query
+def p7_mix(spark: SparkSession, base: str) -> DataFrame:
+    docs = table(spark, base, "documents", "doc_id", "source", "text")
+    return mixing.mix_sources(docs, table(spark, base, "mix_target"))
+
+
+@query
+def p7_shares(spark: SparkSession, base: str) -> DataFrame:
+    return mixing.mix_report(p7_mix(spark, base), table(spark, base, "mix_target"))
