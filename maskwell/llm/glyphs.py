@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from maskwell.runtime import stage
+
 # Letters of other scripts with the shape of a Latin letter.
 CYRILLIC_SHAPES = {
     "а": "a", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "ӏ": "l", "о": "o", "р": "p", "ԛ": "q",
@@ -173,6 +175,8 @@ def same_look_pairs(df: DataFrame, group: list[str], ident: str, text: str) -> D
     keys = [f"_g{i}" for i in range(len(group))]
     rows = df.select(*g, F.col(ident).cast("string").alias("_id"), F.col(text).alias("_t")).dropna()
     rows = rows.select(*keys, "_id", F.md5("_t").alias("_h"), F.md5(settled("_t")).alias("_c")).distinct()
+    # Read four times below; the Python stage before it must run once.
+    rows, _ = stage(rows, "looks")
     mixed = (
         rows.groupBy(*keys, "_c").agg(F.min("_h").alias("_lo"), F.max("_h").alias("_hi")).filter("_lo <> _hi").select(*keys, "_c")
     )
