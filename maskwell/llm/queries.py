@@ -107,7 +107,7 @@ def p8_coherence(spark: SparkSession, base: str) -> DataFrame:
 @query
 def p5_found(spark: SparkSession, base: str) -> DataFrame:
     pages = table(spark, base, "page_extraction", "page_id", "document_id", "page", "method", "text")
-    furniture, hyphens, wrong = scans.read_scans(pages)
+    furniture, hyphens, wrong, _ = scans.read_scans(pages)
     out = furniture.select("page_id", F.lit("furniture").alias("noise_kind"), F.col("line").alias("pos"))
     out = out.union(hyphens.select("page_id", F.lit("hyphen"), "line")).union(wrong.select("page_id", F.lit("misread"), "pos"))
     return out.distinct()
@@ -143,3 +143,8 @@ def p7_mix(spark: SparkSession, base: str) -> DataFrame:
 @query
 def p7_shares(spark: SparkSession, base: str) -> DataFrame:
     return mixing.mix_report(p7_mix(spark, base), table(spark, base, "mix_target"))
+
+
+@query
+def p5_repaired(spark: SparkSession, base: str) -> DataFrame:
+    return scans.repaired_pages(table(spark, base, "page_extraction", "page_id", "document_id", "page", "method", "text"))

@@ -227,7 +227,7 @@ def repairs(lex: DataFrame) -> DataFrame:
 def read_page(text: str, common: frozenset, memo: dict) -> list[tuple]:
     """Flat rows (kind, line, pos, s, s2, yes, mark) of one page.
 
-    Kind r: rare word s at pos, yes if it holds odd digits; b: line break with a
+    Kind r: rare word s at pos, s2 its neighbours, yes if it holds odd digits; b: line break with a
     hyphen, s joined, s2 dashed, yes if it goes on in upper case; e: edge line,
     s its stem, yes at the top, mark if a bare page mark.
     """
@@ -253,7 +253,8 @@ def read_page(text: str, common: frozenset, memo: dict) -> list[tuple]:
                 odd = False
             half = (no in halves and i == len(toks) - 1) or (no - 1 in halves and i == 0)
             if odd or not half:
-                rows.append(("r", no, pos + i, w, None, odd, False))
+                near = [core_of(settle_text(x)).lower() for x in (toks[i - 1 : i] or [""]) + (toks[i + 1 : i + 2] or [""])]
+                rows.append(("r", no, pos + i, w, " ".join(near), odd, False))
         pos += len(toks)
     n = len(lines)
     for no in range(n - 1):
@@ -322,11 +323,12 @@ def running_lines(edges: DataFrame) -> DataFrame:
     return found.union(near).distinct()
 
 
-def read_scans(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(furniture, hyphens, misreadings) of scanned pages.
+def read_scans(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(furniture, hyphens, misreadings, repairs) of scanned pages.
 
-    ``pages``: page_id, document_id, page, method, text. Returns frames keyed by
-    page_id: (line), (line, joined), (pos, line, w, repair).
+    ``pages``: page_id, document_id, page, method, text. The first three are
+    keyed by page_id: (line), (line, joined), (pos, line, w, near, repair); the
+    last has every repair of a word with its weight.
     """
     spark = pages.sparkSession
     pages = pages.filter("text IS NOT NULL AND text <> '' AND page_id IS NOT NULL")
@@ -361,7 +363,95 @@ def read_scans(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     brk = brk.join(joined, "joined", "left").join(dashed, "dashed", "left").fillna(0, ["nj", "nd"])
     broken = F.when((F.col("nj") == 0) & (F.col("nd") == 0), ~F.col("upper")).otherwise(F.col("nj") > F.col("nd"))
     hyphens = brk.filter(broken).join(furniture, ["page_id", "line"], "left_anti").select("page_id", "line", "joined").distinct()
-    rare = done.filter("kind = 'r'").select("page_id", "line", "pos", F.col("s").alias("w"), F.col("yes").alias("odd"))
+    rare = done.filter("kind = 'r'").select("page_id", "line", "pos", F.col("s").alias("w"), F.col("s2").alias("near"), F.col("yes").alias("odd"))
     wrong = rare.join(best, "w", "left").filter("odd OR repair IS NOT NULL").join(furniture, ["page_id", "line"], "left_anti")
-    # The two halves of a word broken at a line end are no words of their own.
-    return furniture, hyphens, wrong.select("page_id", "pos", "line", "w", "repair").distinct()
+    return furniture, hyphens, wrong.select("page_id", "pos", "line", "w", "near", "repair").distinct(), bad
+
+
+def _pair_rows(batches):
+    pairs: Counter = Counter()
+    for b in batches:
+        for text in b["text"]:
+            w = [core_of(t).lower() for t in settle_text(text).split()]
+            pairs.update(zip(w, w[1:]))
+        if len(pairs) > 400_000:
+            yield pd.DataFrame([(x, y, n) for (x, y), n in pairs.items()], columns=["a", "b", "n"])
+            pairs = Counter()
+    if pairs:
+        yield pd.DataFrame([(x, y, n) for (x, y), n in pairs.items()], columns=["a", "b", "n"])
+
+
+def chosen_repairs(pages: DataFrame, wrong: DataFrame, bad: DataFrame) -> DataFrame:
+    """(page_id, pos, repair): the repair the words around it speak for."""
+    pairs = pages.filter("text IS NOT NULL").select("text").mapInPandas(_pair_rows, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    cand = wrong.select("page_id", "pos", "w", F.element_at(F.split("near", " "), 1).alias("prev"), F.element_at(F.split("near", " "), -1).alias("next")).join(bad, "w")
+    left = pairs.select(F.col("a").alias("prev"), F.col("b").alias("repair"), F.col("n").alias("n1"))
+    right = pairs.select(F.col("a").alias("repair"), F.col("b").alias("next"), F.col("n").alias("n2"))
+    seen = cand.join(left, ["prev", "repair"], "left").join(right, ["repair", "next"], "left").fillna(0, ["n1", "n2"])
+    score = F.col("weight") + F.log1p("n1") + F.log1p("n2")
+    return seen.groupBy("page_id", "pos").agg(F.max_by("repair", F.struct(score, F.col("repair"))).alias("repair"))
+
+
+def repaired(text: str, furniture: set[int], broken: set[int], fixes: dict[int, str]) -> str:
+    """Continuous paragraphs: running lines gone, words joined and repaired.
+
+    A paragraph ends where a line closes a sentence well short of the widest
+    line, or before and after a line that is a heading or a label.
+    """
+    lines = text.split("\n")
+    width = max((len(x) for i, x in enumerate(lines) if i not in furniture), default=0)
+    rows: list[tuple[int, list[str]]] = []
+    pos = 0
+    for no, line in enumerate(lines):
+        toks = line.split()
+        out = []
+        for i, t in enumerate(toks):
+            fix = fixes.get(pos + i)
+            core = core_of(t)
+            if fix and core:
+                fix = fix.upper() if core.isupper() and len(core) > 1 else fix[:1].upper() + fix[1:] if core[:1].isupper() else fix
+                t = t.replace(core, fix, 1)
+            out.append(t)
+        pos += len(toks)
+        if no not in furniture and out:
+            rows.append((no, out))
+    paragraphs: list[str] = []
+    current = ""
+    for k, (no, toks) in enumerate(rows):
+        piece = " ".join(toks)
+        glue = " "
+        if current:
+            if current.endswith("\0"):
+                current, glue = current[:-1], ""
+            elif current[-1] in _HYPHENS and len(current) > 1 and current[-2].isalpha():
+                glue = ""
+        current = current + glue + piece if current else piece
+        if no in broken:
+            current = current.rstrip(_HYPHENS) + "\0"
+            continue
+        short = len(lines[no]) < 0.75 * width
+        heading = len(lines[no]) < 0.5 * width and len(toks) <= 6 and piece[-1:] not in ".,;-" and (k + 1 == len(rows) or rows[k + 1][1][0][:1].isupper())
+        if heading or (short and piece[-1:] in ".:!?"):
+            paragraphs.append(current)
+            current = ""
+    if current:
+        paragraphs.append(current.rstrip("\0"))
+    return "\n\n".join(paragraphs)
+
+
+@F.pandas_udf(T.StringType())
+def _repaired(text: pd.Series, furniture: pd.Series, broken: pd.Series, pos: pd.Series, repair: pd.Series) -> pd.Series:
+    some = lambda v: [] if v is None else list(v)
+    return pd.Series([repaired(t, set(some(f)), set(some(b)), dict(zip(some(p), some(r)))) for t, f, b, p, r in zip(text, furniture, broken, pos, repair)], dtype=object)
+
+
+def repaired_pages(pages: DataFrame) -> DataFrame:
+    """(page_id, repaired_text) of every scanned page."""
+    furniture, hyphens, wrong, bad = read_scans(pages)
+    fixes = chosen_repairs(pages, wrong, bad)
+    scans = pages.filter(F.col("method").isin("ocr", "hybrid") & F.col("text").isNotNull() & F.col("page_id").isNotNull()).select("page_id", "text").distinct()
+    per = scans.join(furniture.groupBy("page_id").agg(F.collect_set("line").alias("f")), "page_id", "left")
+    per = per.join(hyphens.groupBy("page_id").agg(F.collect_set("line").alias("b")), "page_id", "left")
+    one = F.collect_list(F.struct("pos", "repair"))
+    per = per.join(fixes.groupBy("page_id").agg(one.alias("x")), "page_id", "left")
+    return per.select("page_id", _repaired("text", "f", "b", F.col("x.pos"), F.col("x.repair")).alias("repaired_text"))
