@@ -17,32 +17,35 @@ def words(col: Column) -> Column:
     return F.regexp_extract_all(F.lower(col), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
+def _grams(k: int) -> Column:
+    """Structs of the k-word runs of _tw with their place."""
+    at = F.sequence(F.lit(1), F.size("_tw") - (k - 1))
+    runs = F.transform(at, lambda i: F.struct(F.lit(k).alias("_k"), i.alias("_i"), F.concat_ws(" ", F.slice("_tw", i, F.lit(k))).alias("_key")))
+    return F.when(F.size("_tw") >= k, runs).otherwise(F.array())
+
+
 def scan_exact(texts: DataFrame, ident: str, text: str, needles: DataFrame, needle: str) -> DataFrame:
     """(ident, needle, hits): whole-word occurrences of each needle.
 
     Case, blanks and punctuation between words do not matter. Needles of more
     than ``MOST_WORDS`` words are compared by their first words, then whole.
     """
-    n = needles.select(F.col(needle).alias("needle")).dropna().distinct().withColumn("nw", words(F.col("needle"))).filter(F.size("nw") > 0)
-    n = n.withColumn("k", F.least(F.size("nw"), F.lit(MOST_WORDS))).withColumn("key", F.concat_ws(" ", F.slice("nw", F.lit(1), F.col("k"))))
-    t = texts.select(F.col(ident), words(F.col(text)).alias("tw")).filter(F.size("tw") > 0)
-    grams = []
-    for k in range(1, MOST_WORDS + 1):
-        at = F.sequence(F.lit(1), F.size("tw") - (k - 1))
-        grams.append(F.when(F.size("tw") >= k, F.transform(at, lambda i, k=k: F.struct(F.lit(k).alias("k"), i.alias("i"), F.concat_ws(" ", F.slice("tw", i, F.lit(k))).alias("key")))).otherwise(F.array()))
-    every = F.flatten(F.array(*[g.cast("array<struct<k:int,i:int,key:string>>") for g in grams]))
-    pos = t.select(ident, "tw", F.explode(every).alias("g")).select(ident, "tw", "g.*")
-    hit = pos.join(n, ["k", "key"]).filter(F.slice("tw", F.col("i"), F.size("nw")) == F.col("nw"))
-    return hit.groupBy(ident, "needle").agg(F.count("*").alias("hits"))
+    n = needles.select(F.col(needle).alias("_needle")).dropna().distinct().withColumn("_nw", words(F.col("_needle"))).filter(F.size("_nw") > 0)
+    n = n.withColumn("_k", F.least(F.size("_nw"), F.lit(MOST_WORDS))).withColumn("_key", F.concat_ws(" ", F.slice("_nw", F.lit(1), F.col("_k"))))
+    t = texts.select(F.col(ident).alias("_id"), words(F.col(text)).alias("_tw")).filter(F.size("_tw") > 0)
+    every = F.flatten(F.array(*[_grams(k).cast("array<struct<_k:int,_i:int,_key:string>>") for k in range(1, MOST_WORDS + 1)]))
+    pos = t.select("_id", "_tw", F.explode(every).alias("_g")).select("_id", "_tw", "_g.*")
+    hit = pos.join(n, ["_k", "_key"]).filter(F.slice("_tw", F.col("_i"), F.size("_nw")) == F.col("_nw"))
+    return hit.groupBy(F.col("_id").alias(ident), F.col("_needle").alias("needle")).agg(F.count("*").alias("hits"))
 
 
 def scan_digits(texts: DataFrame, ident: str, text: str, needles: DataFrame, needle: str, least: int = 6) -> DataFrame:
     """(ident, needle): digit runs, separators removed, equal to a needle's digits."""
     d = F.regexp_replace(F.col(needle), "[^0-9]", "")
-    n = needles.select(d.alias("d")).filter(F.length("d") >= least).distinct()
+    n = needles.select(d.alias("_d")).filter(F.length("_d") >= least).distinct()
     runs = F.regexp_extract_all(F.col(text), F.lit(r"\d(?:[ \-]?\d){" + str(least - 1) + r",}"), F.lit(0))
-    t = texts.select(ident, F.explode(runs).alias("run")).select(ident, F.regexp_replace("run", "[^0-9]", "").alias("d"))
-    return t.join(n, "d").select(ident, F.col("d").alias("needle")).distinct()
+    t = texts.select(F.col(ident).alias("_id"), F.explode(runs).alias("_run")).select("_id", F.regexp_replace("_run", "[^0-9]", "").alias("_d"))
+    return t.join(n, "_d").select(F.col("_id").alias(ident), F.col("_d").alias("needle")).distinct()
 
 
 def scan_fuzzy(texts: DataFrame, ident: str, text: str, needles: DataFrame, needle: str, least: int = 6) -> DataFrame:
@@ -54,9 +57,9 @@ def scan_fuzzy(texts: DataFrame, ident: str, text: str, needles: DataFrame, need
         cut = F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(F.col(c), F.lit(1), i - 1), F.substring(F.col(c), i + 1, F.length(c))))
         return F.array_distinct(F.array_append(cut, F.col(c)))
 
-    n = needles.select(F.lower(needle).alias("n")).filter(F.length("n") >= least).distinct().filter(~F.col("n").contains(" "))
-    w = texts.select(ident, F.explode(words(F.col(text))).alias("w")).filter(F.length("w") >= least - 1).distinct()
-    left = n.withColumn("key", F.explode(deletes("n")))
-    right = w.select("w").distinct().withColumn("key", F.explode(deletes("w")))
-    near = left.join(right, "key").filter(F.levenshtein("n", "w") == 1).select("n", "w").distinct()
-    return w.join(near, "w").select(ident, F.col("n").alias("needle"), F.col("w").alias("word")).distinct()
+    n = needles.select(F.lower(needle).alias("_n")).filter(F.length("_n") >= least).distinct().filter(~F.col("_n").contains(" "))
+    w = texts.select(F.col(ident).alias("_id"), F.explode(words(F.col(text))).alias("_w")).filter(F.length("_w") >= least - 1).distinct()
+    left = n.withColumn("_key", F.explode(deletes("_n")))
+    right = w.select("_w").distinct().withColumn("_key", F.explode(deletes("_w")))
+    near = left.join(right, "_key").filter(F.levenshtein("_n", "_w") == 1).select("_n", "_w").distinct()
+    return w.join(near, "_w").select(F.col("_id").alias(ident), F.col("_n").alias("needle"), F.col("_w").alias("word")).distinct()

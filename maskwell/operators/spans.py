@@ -71,7 +71,9 @@ def covered_length(target: DataFrame, ident: str, cover: DataFrame, key: list[st
     t = target.select(ident, *key, "start_off", "end_off").filter("start_off IS NOT NULL AND end_off IS NOT NULL")
     hit = overlap_join(t, isles, "left", key)
     part = F.least(t["end_off"], isles["end_off"]) - F.greatest(t["start_off"], isles["start_off"])
-    return hit.groupBy(t[ident]).agg(F.sum(F.coalesce(part, F.lit(0))).alias("covered"))
+    # least and greatest skip nulls, so an unmatched target needs its own case.
+    part = F.when(isles["start_off"].isNotNull(), part).otherwise(F.lit(0))
+    return hit.groupBy(t[ident]).agg(F.sum(part).alias("covered"))
 
 
 def without_overlap(a: DataFrame, b: DataFrame, key: list[str] = UNIT) -> DataFrame:

@@ -153,7 +153,7 @@ def merged_islands(spark: SparkSession, base: str) -> DataFrame:
 
 
 @query(
-    f"WITH e AS ({_ISLES.format(t=_E)}) SELECT g.mention_id, CAST(sum(coalesce(least(g.end_off, e.end_off) - greatest(g.start_off, e.start_off), 0)) AS BIGINT) AS covered "
+    f"WITH e AS ({_ISLES.format(t=_E)}) SELECT g.mention_id, CAST(sum(CASE WHEN e.start_off IS NULL THEN 0 ELSE least(g.end_off, e.end_off) - greatest(g.start_off, e.start_off) END) AS BIGINT) AS covered "
     f"FROM {_G} g LEFT JOIN e ON {_OVL} GROUP BY g.mention_id"
 )
 def covered_characters(spark: SparkSession, base: str) -> DataFrame:
