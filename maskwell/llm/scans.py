@@ -55,7 +55,7 @@ _HYPHENS = "-‐‑¬­"
 _EDGE = " .,;:?()[]{}\"'“”‘’«»<>*•…"
 _WORD = re.compile(r"(?=.*[a-zà-öø-ÿğı])[a-zà-öø-ÿğı0-9!|'’\-]{2,}$")
 _LETTERED = re.compile(r"^[A-Za-zÀ-ÖØ-öø-ÿğı'’\-0-9!|]+$")
-_ORDINAL = re.compile(r"^\d+(st|nd|rd|th|am|pm|mg|ml|kg|cm|mm|km|hrs?|yrs?|x|s|k|m|g|h)$", re.I)
+_ORDINAL = re.compile(r"^\d+(?:st|nd|rd|th|ST|ND|RD|TH|am|pm|AM|PM|mg|ml|kg|cm|mm|km|hrs?|yrs?|x|s|k|m|g|h)$")
 _NUMBER = re.compile(r"^(?=.*\d)[$(+]?(?:[A-Z]{1,3}(?=\d))?[\dOolISBZ|]+(?:[./,:\-][\dOolISBZ|]+)*[A-Z]?$")
 _PAGE_MARK = re.compile(
     r"^[\s\-–—\[(|]*(?:p[aou]g[ecs]s?\.?\s*|p[.,]\s*)?(?:[\dOolISB|!]{1,3}|[ivxl!1]{1,6})(?:\s*(?:/|[o0]f|0f)\s*[\dOolISB|!]{1,3})?[\s\-–—\])|]*$", re.I
