@@ -42,7 +42,7 @@ CONFUSIONS = [
 #: How many more times the meant word must occur than the misread one.
 RATIO = 3.0
 LEAST = 3
-#: A word this well attested on typed pages, per word read, is no misreading.
+#: A word on typed pages at least twice and this often, per word read, is no misreading.
 ATTESTED = 0.3
 MOST_STEPS = 3
 #: The most frequent words, which need no look-up; a bound on what is sent to the tasks.
@@ -215,7 +215,7 @@ def repairs(lex: DataFrame) -> DataFrame:
     total = F.col("typed") + F.col("scanned")
     sums = lex.agg(F.sum("typed").alias("tt"), F.sum("scanned").alias("ts"))
     plain = lex.crossJoin(F.broadcast(sums)).filter(F.length("w") >= 3).select("w", "typed", "scanned", total.alias("n"), (F.col("ts") / F.greatest("tt", F.lit(1))).alias("per"))
-    doubt = plain.filter("scanned > 0").filter((F.col("typed") * F.col("per") < ATTESTED * F.col("scanned")) | F.col("w").rlike(r"[0-9!|]"))
+    doubt = plain.filter("scanned > 0").filter((F.col("typed") < 2) | (F.col("typed") * F.col("per") < ATTESTED * F.col("scanned")) | F.col("w").rlike(r"[0-9!|]"))
     probe = _indexed(doubt.select("w", "n"))
     index = plain.filter(F.col("n") >= LEAST).filter(~F.col("w").rlike(r"[0-9!|]")).select("w", "n")
     index = _indexed(index).select(F.col("w").alias("c"), F.col("n").alias("nc"), "k")
