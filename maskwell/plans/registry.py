@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwell.functions import boxes, checks, keyed, strings
-from maskwell.operators import curation, layout, metrics, needles, rules, spans, surrogates
+from maskwell.operators import curation, detection, layout, metrics, needles, rules, spans, surrogates
 from maskwell.sources.files import exported
 from maskwell.sources.tables import table
 
@@ -498,6 +498,123 @@ def line_overlaps(spark: SparkSession, base: str) -> DataFrame:
     return share.filter("f > 0").groupBy("page_a", "page_b").agg(F.count("*").alias("pairs"), F.round(F.avg("f"), 6).alias("mean_share"))
 
 
+# Context, combination, recovery ------------------------------------------------------
+
+
+def _context_sql() -> str:
+    parts = []
+    for n, (kind, before, value) in detection.CONTEXT.items():
+        p, v = f"{before}{value}\\b".replace("'", "''"), f"({value})$"
+        parts.append(
+            f"SELECT page_id, '{n}' AS rule, '{kind}' AS entity_type, s + length(x) - length(regexp_extract(x, '{v}', 1)) AS start_off, s + length(x) AS end_off, regexp_extract(x, '{v}', 1) AS text FROM ("
+            f"SELECT page_id, m[i] AS x, CAST(list_sum(list_transform(g[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(m[1:i-1], lambda y: length(y))), 0) AS INTEGER) AS s FROM ("
+            f"SELECT page_id, regexp_extract_all(text, '{p}') AS m, regexp_split_to_array(text, '{p}') AS g, unnest(range(1, len(regexp_extract_all(text, '{p}')) + 1)) AS i FROM page_extraction))"
+        )
+    return " UNION ALL ".join(parts)
+
+
+@query(_context_sql())
+def context_identifiers(spark: SparkSession, base: str) -> DataFrame:
+    return detection.context_spans(table(spark, base, "page_extraction", "page_id", "text"), "page_id", "text")
+
+
+@query()
+def date_roles(spark: SparkSession, base: str) -> DataFrame:
+    pages = table(spark, base, "page_extraction", "page_id", "text").distinct()
+    found = rules.rule_spans(pages, "page_id", "text", "date.dmy", "date.iso", "date.words")
+    roles = {"examination": ["examined", "dated"], "payment": ["paid on", "premium"], "incident": ["while turning", "fell", "caught", "slipped", "struck"], "deadline": ["before "]}
+    return detection.nearest_before(pages, found, "page_id", "text", roles)
+
+
+_D3 = "(SELECT page_id, 'rules' AS detector, entity_type, start_off, end_off FROM ({a}) UNION SELECT page_id, 'context', entity_type, start_off, end_off FROM ({b}))"
+
+
+@query(
+    "WITH d AS "
+    + _D3.format(a=_scan_sql("page_extraction", "page_id", ["passport", "claim"]), b=_context_sql())
+    + " SELECT x.page_id, x.detector, x.entity_type, x.start_off, x.end_off, count(DISTINCT y.detector) AS votes FROM d x JOIN d y ON x.page_id = y.page_id AND x.entity_type = y.entity_type AND x.start_off < y.end_off AND y.start_off < x.end_off GROUP BY ALL HAVING count(DISTINCT y.detector) >= 2"
+)
+def combiner_intersection(spark: SparkSession, base: str) -> DataFrame:
+    pages = table(spark, base, "page_extraction", "page_id", "text")
+    cols = ["page_id", "entity_type", "start_off", "end_off"]
+    a = rules.rule_spans(pages, "page_id", "text", "passport", "claim").select(F.lit("rules").alias("detector"), *cols)
+    b = detection.context_spans(pages, "page_id", "text").select(F.lit("context").alias("detector"), *cols)
+    return detection.combined(a.union(b).distinct(), "detector", 2, ["page_id"]).select("page_id", "detector", "entity_type", "start_off", "end_off", "votes")
+
+
+@query("""
+WITH m AS (SELECT DISTINCT mention_id, text, document_id, page FROM gold_mention WHERE text IS NOT NULL AND page IS NOT NULL), t AS (SELECT DISTINCT document_id, page, text_source_id, lower(text) AS t FROM page_extraction)
+SELECT m.mention_id, count(*) AS sources, CAST(sum(CASE WHEN contains(t.t, lower(m.text)) THEN 1 ELSE 0 END) AS BIGINT) AS recovered FROM m JOIN t ON m.document_id = t.document_id AND m.page = t.page GROUP BY 1""")
+def surface_recovery(spark: SparkSession, base: str) -> DataFrame:
+    m = table(spark, base, "gold_mention", "mention_id", "text", "document_id", "page").dropna().distinct()
+    t = table(spark, base, "page_extraction", "document_id", "page", "text_source_id", "text").select("document_id", "page", "text_source_id", F.lower("text").alias("t")).distinct()
+    both = m.join(t, ["document_id", "page"])
+    return both.groupBy("mention_id").agg(F.count("*").alias("sources"), F.sum(F.col("t").contains(F.lower("text")).cast("int")).alias("recovered"))
+
+
+@query("""
+WITH p AS (SELECT DISTINCT a.page_id AS ident, split_part(a.text, chr(10), 1) AS ref, split_part(b.text, chr(10), 1) AS hyp FROM page_extraction a JOIN page_extraction b ON a.document_id = b.document_id AND a.page = b.page AND a.page_id < b.page_id)
+SELECT ident, CASE WHEN length(ref) = 0 THEN CASE WHEN length(hyp) > 0 THEN 1.0 END ELSE round(levenshtein(ref, hyp) / length(ref), 6) END AS cer FROM p WHERE regexp_full_match(ref || hyp, '[ -~]*')""")
+def first_line_error_rate(spark: SparkSession, base: str) -> DataFrame:
+    p = table(spark, base, "page_extraction", "page_id", "document_id", "page", "text").withColumn("line", F.substring_index("text", "\n", 1))
+    b = p.select("document_id", "page", F.col("page_id").alias("other"), F.col("line").alias("hyp"))
+    both = p.join(b, ["document_id", "page"]).filter("page_id < other").select(F.col("page_id").alias("ident"), F.col("line").alias("ref"), "hyp").distinct()
+    return both.filter(F.concat("ref", "hyp").rlike("^[ -~]*$")).select("ident", metrics.error_rate(F.col("ref"), F.col("hyp")).alias("cer"))
+
+
+@query("""
+WITH s AS (SELECT DISTINCT entity_id, matter_id, lower(trim(canonical_id)) AS c, text FROM syn_hybrid WHERE canonical_id IS NOT NULL AND matter_id IS NOT NULL),
+k AS (SELECT matter_id, c, count(*) AS mentions, count(DISTINCT text) AS spellings FROM s GROUP BY 1, 2)
+SELECT matter_id, count(*) AS entities, CAST(sum(mentions) AS BIGINT) AS mentions, CAST(sum(CASE WHEN spellings > 1 THEN 1 ELSE 0 END) AS BIGINT) AS respelled FROM k GROUP BY 1""")
+def alias_consistency(spark: SparkSession, base: str) -> DataFrame:
+    s = table(spark, base, "syn_hybrid", "entity_id", "matter_id", "canonical_id", "text").filter("canonical_id IS NOT NULL AND matter_id IS NOT NULL")
+    s = s.select("entity_id", "matter_id", F.lower(F.trim("canonical_id")).alias("c"), "text").distinct()
+    k = s.groupBy("matter_id", "c").agg(F.count("*").alias("mentions"), F.countDistinct("text").alias("spellings"))
+    return k.groupBy("matter_id").agg(F.count("*").alias("entities"), F.sum("mentions").alias("mentions"), F.sum((F.col("spellings") > 1).cast("int")).alias("respelled"))
+
+
+@query(
+    f"SELECT document_id, count(*) AS spans, sha256(string_agg(coalesce(page::VARCHAR, '') || '|' || text_source_id || '|' || start_off || '|' || end_off || '|' || entity_type || '|' || mention_id, chr(10) ORDER BY coalesce(page, -1), text_source_id, start_off, end_off, entity_type, mention_id)) AS digest FROM {_G} GROUP BY document_id"
+)
+def spans_digest(spark: SparkSession, base: str) -> DataFrame:
+    row = F.struct(F.coalesce("page", F.lit(-1)).alias("o"), "text_source_id", "start_off", "end_off", "entity_type", "mention_id")
+    line = lambda x: F.concat_ws("|", F.when(x["o"] == -1, "").otherwise(x["o"].cast("string")), x["text_source_id"], x["start_off"].cast("string"), x["end_off"].cast("string"), x["entity_type"], x["mention_id"])
+    per = _gold(spark, base).groupBy("document_id").agg(F.count("*").alias("spans"), F.array_sort(F.collect_list(row)).alias("r"))
+    return per.select("document_id", "spans", F.sha2(F.concat_ws("\n", F.transform("r", line)), 256).alias("digest"))
+
+
+@query("""
+WITH w AS (SELECT page_id, u.block AS block, u.line AS line, u.idx AS idx, u.bbox.x0 AS x0, u.bbox.x1 AS x1 FROM (SELECT page_id, unnest(words) AS u FROM (SELECT page_id, any_value(words) AS words FROM page_extraction WHERE words IS NOT NULL GROUP BY page_id))),
+n AS (SELECT *, CASE WHEN x0 - lag(x1) OVER (PARTITION BY page_id, block, line ORDER BY idx) <= 4 THEN 0 ELSE 1 END AS fresh FROM w),
+c AS (SELECT *, sum(fresh) OVER (PARTITION BY page_id, block, line ORDER BY idx ROWS UNBOUNDED PRECEDING) AS cell FROM n)
+SELECT page_id, block, line, CAST(cell AS BIGINT) AS cell, min(idx) AS first_idx, max(idx) AS last_idx FROM c GROUP BY 1, 2, 3, 4""")
+def line_cells(spark: SparkSession, base: str) -> DataFrame:
+    p = table(spark, base, "page_extraction", "page_id", "words").filter("words IS NOT NULL").groupBy("page_id").agg(F.first("words").alias("words"))
+    return layout.cells(layout.page_words(p, "page_id"), ["page_id"], 4.0)
+
+
+@query()
+def recall_interval(spark: SparkSession, base: str) -> DataFrame:
+    per = _outcomes(spark, base).groupBy("document_id").agg(F.sum("hit").alias("hit"), F.count("*").alias("n"))
+    return metrics.bootstrap_interval(per, "hit", "n", 200)
+
+
+@query(r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}') AS m FROM documents)
+SELECT DISTINCT doc_id, lower(unnest(m)) AS address FROM t""")
+def email_addresses(spark: SparkSession, base: str) -> DataFrame:
+    found = rules.rule_spans(table(spark, base, "documents", "doc_id", "text"), "doc_id", "text", "email")
+    return found.select("doc_id", F.lower("text").alias("address")).distinct()
+
+
+@query()
+def passing_attempts(spark: SparkSession, base: str) -> DataFrame:
+    p = table(spark, base, "page_extraction", "page_id", "document_id", "page", "words").filter("words IS NOT NULL").groupBy("page_id", "document_id", "page").agg(F.first("words").alias("words"))
+    mean = layout.page_words(p, "page_id", "document_id", "page").groupBy("document_id", "page", "page_id").agg(F.avg("conf").alias("mean_conf"))
+    rung = metrics.running_rank(mean, ["document_id", "page"], [F.col("page_id")], "rung")
+    return detection.ladder(rung, ["document_id", "page"], 92.0)
+
+
 def flagship(spark: SparkSession, base: str) -> DataFrame:
     """Candidates of every text rule over all pages, resolved to non-overlapping spans."""
     return resolved_candidates(spark, base)

@@ -159,3 +159,71 @@ def test_layout_rebuilds_the_page(spark):
 def test_rules_on_empty_and_null(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "mail a.b@x.example.com on 03/04/2020")], "i int, t string")
     assert {(r["rule"], r["text"]) for r in rules.rule_spans(df, "i", "t").collect()} == {("email", "a.b@x.example.com"), ("date.dmy", "03/04/2020")}
+
+
+def test_context_values_and_roles(spark):
+    from maskwell.operators import detection
+
+    df = spark.createDataFrame([(1, "Passport no. PA1234567 was shown. Paid on 03/04/2020. Examined 05/04/2020."), (2, None), (3, "")], "page_id int, text string")
+    got = detection.context_spans(df, "page_id", "text").collect()
+    assert [(r["rule"], r["text"], r["start_off"]) for r in got] == [("ctx.passport", "PA1234567", 13)]
+    dates = rules.rule_spans(df, "page_id", "text", "date.dmy")
+    roles = detection.nearest_before(df, dates, "page_id", "text", {"examination": ["examined"], "payment": ["paid on"]})
+    assert {r["text"]: r["role"] for r in roles.collect()} == {"03/04/2020": "payment", "05/04/2020": "examination"}
+
+
+def test_votes_disagreements_and_ladder(spark):
+    from maskwell.operators import detection
+
+    rows = [("d", 1, None, "s", 0, 5, "X", "a"), ("d", 1, None, "s", 3, 6, "X", "b"), ("d", 1, None, "s", 9, 12, "Y", "a")]
+    df = spark.createDataFrame(rows, f"{UNIT}, start_off int, end_off int, entity_type string, detector string")
+    assert {r["start_off"] for r in detection.combined(df, "detector", 2).collect()} == {0, 3}
+    d = detection.disagreements(df.filter("detector = 'a'"), df.filter("detector = 'b'")).collect()
+    assert {(r["start_off"], r["kind"]) for r in d} == {(0, "boundary"), (9, "missed")}
+    tries = spark.createDataFrame([("p", 0, 40.0), ("p", 1, 95.0), ("p", 2, 99.0), ("q", 0, 30.0), ("q", 1, 50.0)], "page string, rung int, mean_conf double")
+    assert {(r["page"], r["rung"], r["rescued"]) for r in detection.ladder(tries, ["page"], 90.0).collect()} == {("p", 1, True), ("q", 1, False)}
+
+
+def test_two_word_sources_are_joined(spark):
+    from maskwell.operators import detection
+
+    box = "struct<x0:double,y0:double,x1:double,y1:double>"
+    a = spark.createDataFrame([(1, "Ann", (0.0, 0.0, 10.0, 10.0))], f"page int, text string, bbox {box}")
+    b = spark.createDataFrame([(1, "Ann", (0.0, 1.0, 10.0, 9.0)), (1, "Lee", (20.0, 0.0, 30.0, 10.0)), (2, "Far", (0.0, 0.0, 1.0, 1.0))], f"page int, text string, bbox {box}")
+    assert sorted(r["text"] for r in detection.joined_sources(a, b, ["page"]).collect()) == ["Ann", "Far", "Lee"]
+
+
+def test_files(spark, tmp_path):
+    from maskwell.sources import files
+
+    head = "level\tpage_num\tblock_num\tpar_num\tline_num\tword_num\tleft\ttop\twidth\theight\tconf\ttext\n"
+    (tmp_path / "a.tsv").write_text(head + '5\t1\t2\t3\t4\t1\t300\t0\t300\t30\t-1\t"Ann\n4\t1\t2\t3\t4\t0\t0\t0\t0\t0\t-1\t\n')
+    r = files.recognised_words(spark, str(tmp_path / "a.tsv"), 300).collect()
+    assert len(r) == 1 and r[0]["text"] == '"Ann' and r[0]["conf"] is None and r[0]["bbox"]["x0"] == 72.0 and r[0]["block"] == 203
+    (tmp_path / "d.jsonl").write_text('{"item_id": "1", "decision": "not_pii"}\n')
+    assert files.decisions(spark, str(tmp_path / "d.jsonl")).first()["decision"] == "not_pii"
+    (tmp_path / "x.pdf").write_bytes(b"%PDF-1.7 x")
+    (tmp_path / "y.pdf").write_bytes(b"no")
+    assert files.registered_files(spark, str(tmp_path / "*.pdf")).count() == 1
+
+
+def test_streaming_scan_equals_batch(spark, tmp_path):
+    from maskwell.streaming import intake
+
+    data = [(i, "d", f"mail u{i}@x.example.com", dt.datetime(2024, 1, 1)) for i in range(20)]
+    df = spark.createDataFrame(data, "page_id long, document_id string, text string, delivered_at timestamp")
+    df.write.parquet(str(tmp_path / "in"))
+    stream = intake.span_stream(intake.text_stream(spark, str(tmp_path / "in")), rules.RULES["email"][2], "page_id")
+    q = stream.writeStream.format("memory").queryName("found").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    want = {tuple(r) for r in spans.regex_spans(df, "text", rules.RULES["email"][2], "page_id").collect()}
+    assert {tuple(r) for r in spark.sql("select * from found").collect()} == want and len(want) == 20
+
+
+def test_registry_names_and_flagship(spark):
+    import __spark_entry__ as entry
+
+    q, o = entry.queries(), entry.oracle_sql()
+    assert set(o) <= set(q) and len(q) >= 50
+    assert entry.entry(spark).count() > 0
