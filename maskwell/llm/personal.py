@@ -214,6 +214,8 @@ class Lexicon:
             w = tok.lower()
             if len(tok) == 1:
                 got = (False, False, False, "i" if tok.isupper() else "l")
+            elif 3 * sum(c.isdigit() for c in tok) > len(tok):
+                got = (False, False, True, "l")
             else:
                 case = "U" if tok.isupper() else "T" if tok[0].isupper() else "l"
                 g, s = w in self.given, self.known_surname(w)
@@ -377,9 +379,9 @@ def person_spans(t: str, taken: list[tuple[int, int, str]], lex: Lexicon) -> lis
             while k < n and info[k][3] == "i" and joined(k):
                 k += 1
             e = surname_at(k, strict=not titled and gap(k - 1, k) == " ")
-            if e < 0 and not titled and k < n and info[k][3] in "TU" and not info[k][2] and len(toks[k][2]) > 3 and w not in ("A", "I"):
+            if e < 0 and not titled and k < n and info[k][3] in "TU" and not info[k][2] and len(toks[k][2]) > 3 and (w not in ("A", "I") or t[b : b + 1] == "."):
                 e = k + 1
-            if e > 0 and (w not in ("A", "I") or info[e - 1][1]):
+            if e > 0 and (w not in ("A", "I") or t[b : b + 1] == "." or info[e - 1][1]):
                 end = e
         # Given name first.
         if end < 0 and g and (upper or s or not common):
@@ -433,6 +435,12 @@ def person_spans(t: str, taken: list[tuple[int, int, str]], lex: Lexicon) -> lis
                         end = k
                 elif has_comma and case in "TU" and k < n and info[k][3] in "TU" and not info[k][2] and w.isupper() and not toks[k][2].isupper():
                     end = k + 1
+        # An unknown word before a given name: with a comma, or in capitals.
+        if end < 0 and case in "TU" and not common and len(w) > 3 and low not in lex.frequent and i + 1 < n and info[i + 1][0] and info[i + 1][3] in "TU":
+            if comma(i) or (case == "U" and joined(i) and not toks[i + 1][2].isupper()):
+                end = i + 2
+                while end < n and joined(end - 1) and end - i < 4 and info[end][3] in "TU" and toks[end][2].lower() in lex.middle:
+                    end += 1
         # Title and surname.
         if end < 0 and titled:
             e = surname_at(i, strict=False)
@@ -553,7 +561,8 @@ def name_lexicon(mentions: DataFrame, pages: DataFrame) -> Lexicon:
     mid = words.filter((F.col("m") >= 3) & (F.col("m") > 0.2 * F.col("s"))).orderBy(F.desc("m"), "w").limit(LEXICON_BOUND).select("w", F.lit("m"))
     low = pages.select("text").dropna().mapInPandas(_lower_words, "w string, n long, every long").groupBy("w").agg(F.sum("n").alias("n"), F.sum("every").alias("every"))
     low = low.join(words.filter((g_all >= 3) | (s_all >= 3)).select("w"), "w", "left_anti")
-    common = low.filter("n > 0").orderBy(F.desc("n"), "w").limit(COMMON_BOUND).select("w", F.lit("c"))
+    # Ordinary words are mostly written small; a name now and then.
+    common = low.filter("n >= 0.3 * every AND n > 0").orderBy(F.desc("n"), "w").limit(COMMON_BOUND).select("w", F.lit("c"))
     frequent = low.filter(F.col("every") >= FREQUENT).orderBy(F.desc("every"), "w").limit(COMMON_BOUND).select("w", F.lit("q"))
     # At most two lexicons and the common words, all bounded above.
     sets: dict[str, set[str]] = {"g": set(), "s": set(), "m": set(), "c": set(), "q": set()}
