@@ -50,6 +50,23 @@ def format_preserving(col: Column | str, key: bytes, *scope: Column | str) -> Co
     return into_layout(c, F.substring(stream, 2, 34))
 
 
+def with_unusable(df: DataFrame, col: str, kind: str, key: bytes, *scope: str, out: str = "surrogate") -> DataFrame:
+    """Adds a number in the layout of the original that fails its check digit.
+
+    Ten candidates differ in their last digit; a scheme fits at most two of
+    them, so one always fails. Values without two digits keep their digits
+    replaced only.
+    """
+    from maskwell.functions.checks import VALIDATORS
+
+    made = df.withColumn("_made", format_preserving(col, key, *scope)).withColumn("_d", digits_only("_made"))
+    last = F.substring(F.col("_d"), F.length("_d"), F.lit(1)).try_cast("int")
+    tries = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.concat(F.substring(F.col("_d"), F.lit(1), F.length("_d") - 1), ((last + i) % 10).cast("string")))
+    bad = F.get(F.filter(tries, lambda x: ~VALIDATORS[kind](x)), F.lit(0))
+    made = made.withColumn("_bad", F.when(F.length("_d") > 1, bad))
+    return made.withColumn(out, F.when(F.col("_bad").isNull(), F.col("_made")).otherwise(into_layout(F.col("_made"), F.col("_bad")))).drop("_made", "_d", "_bad")
+
+
 def reserved_phone(col: Column | str, key: bytes, *scope: Column | str) -> Column:
     """A phone number of the reserved range in the layout of the original."""
     c = F.col(col) if isinstance(col, str) else col

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwell.functions import boxes, checks, keyed, strings
+from maskwell.functions import boxes, checks, dates, keyed, strings
 from maskwell.operators import curation, detection, layout, metrics, needles, rules, spans, surrogates
 from maskwell.sources.files import exported
 from maskwell.sources.tables import table
@@ -615,6 +615,25 @@ def passing_attempts(spark: SparkSession, base: str) -> DataFrame:
     return detection.ladder(rung, ["document_id", "page"], 92.0)
 
 
+@query("""
+SELECT DISTINCT mention_id, text, CASE
+ WHEN regexp_full_match(text, '[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}') THEN try_strptime(text, '%d/%m/%Y')::DATE
+ WHEN regexp_full_match(text, '[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN try_strptime(text, '%Y-%m-%d')::DATE
+ ELSE coalesce(try_strptime(replace(text, chr(10), ' '), '%d %B %Y'), try_strptime(replace(text, chr(10), ' '), '%d %b %Y'))::DATE END AS day
+FROM gold_mention WHERE entity_type = 'DATE' AND regexp_full_match(text, '[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[ \n][A-Z][a-z]+[ \n][0-9]{4}')""")
+def parsed_dates(spark: SparkSession, base: str) -> DataFrame:
+    g = table(spark, base, "gold_mention", "mention_id", "entity_type", "text").filter("entity_type = 'DATE'").select("mention_id", "text").distinct()
+    plain = g.filter(F.col("text").rlike(r"^(?:[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[ \n][A-Z][a-z]+[ \n][0-9]{4})$"))
+    return plain.withColumn("day", dates.parsed("text"))
+
+
+@query()
+def unusable_numbers(spark: SparkSession, base: str) -> DataFrame:
+    g = table(spark, base, "gold_mention", "document_id", "entity_type", "text").filter(F.col("entity_type").isin("TFN", "MEDICARE") & F.col("text").isNotNull()).distinct()
+    tfn = surrogates.with_unusable(g.filter("entity_type = 'TFN'"), "text", "tfn", KEY, "document_id")
+    return tfn.union(surrogates.with_unusable(g.filter("entity_type = 'MEDICARE'"), "text", "medicare", KEY, "document_id"))
+
+
 def flagship(spark: SparkSession, base: str) -> DataFrame:
     """Candidates of every text rule over all pages, resolved to non-overlapping spans."""
     return resolved_candidates(spark, base)

@@ -227,3 +227,22 @@ def test_registry_names_and_flagship(spark):
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q) and len(q) >= 50
     assert entry.entry(spark).count() > 0
+
+
+def test_written_dates(spark):
+    from maskwell.functions import dates
+
+    want = {
+        "03/04/2020": dt.date(2020, 4, 3), "3.4.41": dt.date(1941, 4, 3), "3-4-40": dt.date(2040, 4, 3), "2024-03-03": dt.date(2024, 3, 3), "20240303": dt.date(2024, 3, 3),
+        "3rd of March 2024": dt.date(2024, 3, 3), "March 3rd, 2024": dt.date(2024, 3, 3), "12 AUG 2021": dt.date(2021, 8, 12), "31/02/2020": None, "": None, "soon": None,
+    }
+    df = spark.createDataFrame([(k,) for k in want] + [(None,)], "t string")
+    got = {r["t"]: r["d"] for r in df.select("t", dates.parsed("t").alias("d")).collect()}
+    assert got == {**want, None: None}
+    assert "3 March 2024" in df.limit(1).select(dates.forms(F.lit(dt.date(2024, 3, 3))).alias("f")).first()["f"]
+
+
+def test_surrogate_numbers_never_pass_their_check(spark):
+    df = spark.createDataFrame([("123 456 782",), ("459-599-230",), ("",), (None,)], "x string").coalesce(1)
+    rows = surrogates.with_unusable(df, "x", "tfn", b"k", out="s").withColumn("ok", checks.tfn_valid("s")).collect()
+    assert not any(r["ok"] for r in rows) and re.fullmatch(r"\d{3} \d{3} \d{3}", rows[0]["s"]) and re.fullmatch(r"\d{3}-\d{3}-\d{3}", rows[1]["s"])
