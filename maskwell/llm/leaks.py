@@ -7,13 +7,15 @@ shingles survive whole. Shingles are ordered by rarity over all documents; a
 document that holds a window must hold one of the window's rarest
 ``shingles - needed + 1`` (its prefix). Documents are probed with the union of
 prefixes; then a length bound (enough surviving shingles inside one window) and
-a positional bound (the document span they point at) leave few pairs, which are
+a positional bound (the words of the document span they point at) leave few pairs, which are
 verified exactly with a bit-parallel edit distance over words.
 
 Items are the stated query set: they are sent to the tasks in blocks of at most
 ``BLOCK_WORDS`` words, each block against all rows. Documents are never joined
-with each other. Shingles held by more than ``STOCK_SHARE`` of the documents
-are stock phrases: they count as matches but cannot make a case by themselves.
+with each other. How many documents hold a shingle orders the prefixes and
+decides nothing else, so a passage is found however often it was copied. Stock
+phrases make no case because they are shorter than a window less the words that
+may differ; one of that length or more would count as a passage.
 
 Null texts hold nothing; an empty table gives an empty result; repeated rows
 count once. Items under ``MIN_WORDS`` words must be held whole (one word in ten
@@ -34,9 +36,6 @@ from maskwell.llm.glyphs import settle_text
 
 SHINGLE = 5
 MIN_WORDS = 30
-STOCK_SHARE = 0.005
-STOCK_LEAST = 25
-OWN_SHINGLES = 4
 BLOCK_WORDS = 1_000_000
 
 _WORDS = re.compile(r"[^\W_]+")
@@ -93,12 +92,10 @@ def within(pattern: list[str], text: list[str], most: int) -> bool:
 class Items:
     """Items with the prefix shingles that lead to them."""
 
-    def __init__(self, rows: list[tuple[int, str]], df: dict[str, int], stock_from: float):
+    def __init__(self, rows: list[tuple[int, str]], df: dict[str, int]):
         self.words: dict[int, list[str]] = {}
         self.where: dict[int, dict[str, list[int]]] = {}
-        self.stock: set[str] = {s for s, n in df.items() if n >= stock_from}
         self.prefix: dict[str, list[int]] = {}
-        self.every: set[str] = set()
         lead: dict[str, set[int]] = {}
         for item, text in rows:
             words = words_of(text)
@@ -116,45 +113,48 @@ class Items:
             for p in range(len(words) - n + 1):
                 rare = sorted(sh[p : p + per], key=lambda s: (df.get(s, 0), s))[:keep]
                 for s in rare:
-                    # A case needs shingles of its own, so stock ones need not lead.
-                    if s not in self.stock or n < MIN_WORDS:
-                        lead.setdefault(s, set()).add(item)
+                    lead.setdefault(s, set()).add(item)
         self.prefix = {s: sorted(v) for s, v in lead.items()}
 
     def held(self, words: list[str]) -> list[int]:
         """Items whose passage, or a long stretch of it, stands in ``words``."""
         sh = shingles_of(words)
-        at: dict[str, list[int]] = {}
         found: set[int] = set()
+        for s in self.prefix.keys() & set(sh):
+            found.update(self.prefix[s])
+        if not found:
+            return []
+        at: dict[str, list[int]] = {}
         for i, s in enumerate(sh):
-            if s in self.prefix:
-                found.update(self.prefix[s])
             at.setdefault(s, []).append(i)
         return sorted(item for item in found if self._stands(item, words, at))
 
     def _stands(self, item: int, words: list[str], at: dict[str, list[int]]) -> bool:
         mine = self.words[item]
-        hits = sorted((i, d, s in self.stock) for s, pos in self.where[item].items() if s in at for i in pos for d in at[s])
-        if not hits:
+        size = min(MIN_WORDS, len(mine))
+        where = self.where[item]
+        both = where.keys() & at.keys()
+        if sum(len(where[s]) for s in both) < needed(size):
             return False
-        count, fresh = [0] * (len(mine) + 1), [0] * (len(mine) + 1)
-        for i, _, stock in dict((h[0], h) for h in hits).values():
+        hits = sorted((i, d) for s in both for i in where[s] for d in at[s])
+        count = [0] * (len(mine) + 1)
+        for i, _ in hits:
             count[i + 1] = 1
-            fresh[i + 1] = 0 if stock else 1
         for i in range(len(mine)):
             count[i + 1] += count[i]
-            fresh[i + 1] += fresh[i]
-        size = min(MIN_WORDS, len(mine))
         while True:
-            least, own = needed(size), (min(OWN_SHINGLES, needed(size)) if len(mine) >= MIN_WORDS else 0)
+            least = needed(size)
             for p in range(len(mine) - size + 1):
                 e = p + size - SHINGLE + 1
-                if count[e] - count[p] < least or fresh[e] - fresh[p] < own:
+                if count[e] - count[p] < least:
                     continue
                 # Positional bound: matches of one copy lie near one diagonal.
                 shifts = [h[1] - h[0] for h in hits if p <= h[0] < e]
+                part = mine[p : p + size]
                 for a, b in self._spans(shifts, p, size, len(words)):
-                    if within(mine[p : p + size], words[a:b], allowed(size)):
+                    span = words[a:b]
+                    # Every word the span lacks is an edit.
+                    if len(part) - sum(map(set(span).__contains__, part)) <= allowed(size) and within(part, span, allowed(size)):
                         return True
             if size == len(mine) or count[-1] < needed(size + 10):
                 return False
@@ -193,7 +193,6 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     corpus = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("t")).dropna()
     kind_d, kind_i = docs.schema[doc_id].dataType, items.schema[item_id].dataType
     out_schema = T.StructType([T.StructField("doc_id", kind_d), T.StructField("item_id", kind_i)])
-    total = corpus.count()
     result = spark.createDataFrame([], out_schema)
     for block in _blocks(items, item_id, item_text):
         sets = spark.sparkContext.broadcast(frozenset(s for _, t in block for s in shingles_of(words_of(t))))
@@ -210,7 +209,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
         # At most one row per shingle of the block, counted over all documents.
         counts = corpus.select("t").mapInPandas(rare, "s string, n long").groupBy("s").agg(F.sum("n").alias("n"))
         df = {r["s"]: r["n"] for r in counts.toLocalIterator()}
-        index = spark.sparkContext.broadcast(Items(block, df, max(STOCK_LEAST, STOCK_SHARE * total)))
+        index = spark.sparkContext.broadcast(Items(block, df))
 
         def find(batches, index=index):
             for b in batches:

@@ -258,6 +258,19 @@ def test_leaked_items_against_windows(spark):
     assert rows(leaks.leaked_items(ddf.limit(0), idf)) == [] and rows(leaks.leaked_items(ddf, idf.limit(0))) == []
 
 
+def test_a_passage_copied_into_many_rows_is_still_found(spark):
+    rng = random.Random(18)
+    vocab = [f"w{i}" for i in range(400)]
+    text = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    item, stock = text(60), text(18)
+    docs = [(d, "same start " + item) for d in range(60)]
+    docs += [(100 + d, f"{text(20)} {item} {text(20)}") for d in range(40)]
+    docs += [(200 + d, f"{text(30)} {stock} {text(30)}") for d in range(80)]
+    ddf = spark.createDataFrame(docs, "doc_id long, text string")
+    idf = spark.createDataFrame([(1, item), (2, f"{text(30)} {stock} {text(30)}")], "item_id long, text string")
+    assert set(rows(leaks.leaked_items(ddf, idf))) == {(d, 1) for d, _ in docs if d < 200}
+
+
 # Mixing --------------------------------------------------------------------------------------
 
 
