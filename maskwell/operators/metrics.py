@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import hashlib
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,5 +109,49 @@ def error_rate(ref: Column, hyp: Column) -> Column:
     return F.when(F.length(ref) == 0, F.when(F.length(hyp) > 0, 1.0)).otherwise(F.round(F.levenshtein(ref, hyp) / F.length(ref), 6))
 
 
+def edit_distance(a: str, b: str) -> int:
+    """Levenshtein distance, bit-parallel: one step a character of ``b``."""
+    if not a or not b:
+        return len(a) + len(b)
+    m = len(a)
+    peq: dict[str, int] = {}
+    for i, c in enumerate(a):
+        peq[c] = peq.get(c, 0) | (1 << i)
+    mask, top = (1 << m) - 1, 1 << (m - 1)
+    pv, mv, score = mask, 0, m
+    for c in b:
+        eq = peq.get(c, 0)
+        xv = eq | mv
+        xh = (((eq & pv) + pv) ^ pv) | eq
+        ph = mv | (~(xh | pv) & mask)
+        mh = pv & xh
+        if ph & top:
+            score += 1
+        elif mh & top:
+            score -= 1
+        ph = ((ph << 1) | 1) & mask
+        mh = (mh << 1) & mask
+        pv = mh | (~(xv | ph) & mask)
+        mv = ph & xv
+    return score
+
+
+def text_error_rate(ref: Column | str, hyp: Column | str) -> Column:
+    """Character error rate of whole texts in NFKC with blanks and line ends collapsed.
+
+    Null counts as empty; an empty reference gives null for an empty text, else 1.
+    """
+
+    @F.pandas_udf("double")
+    def rate(refs: pd.Series, hyps: pd.Series) -> pd.Series:
+        out: list[float | None] = []
+        for a, b in zip(refs, hyps):
+            r, h = (" ".join(unicodedata.normalize("NFKC", t or "").split()) for t in (a, b))
+            out.append(round(edit_distance(r, h) / len(r), 4) if r else 1.0 if h else None)
+        return pd.Series(out, dtype="float64")
+
+    return rate(ref, hyp)
+
+
 def running_rank(df: DataFrame, key: list[str], order: list[Column], out: str = "rank") -> DataFrame:
     return df.withColumn(out, F.row_number().over(Window.partitionBy(*key).orderBy(*order)))

@@ -556,12 +556,22 @@ def surface_recovery(spark: SparkSession, base: str) -> DataFrame:
 WITH p AS (SELECT DISTINCT a.page_id AS ident, split_part(a.text, chr(10), 1) AS ref, split_part(b.text, chr(10), 1) AS hyp FROM page_extraction a JOIN page_extraction b ON a.document_id = b.document_id AND a.page = b.page AND a.page_id < b.page_id)
 SELECT ident, CASE WHEN length(ref) = 0 THEN CASE WHEN length(hyp) > 0 THEN 1.0 END ELSE round(levenshtein(ref, hyp) / length(ref), 6) END AS cer FROM p WHERE regexp_full_match(ref || hyp, '[ -~]*')""")
 def first_line_error_rate(spark: SparkSession, base: str) -> DataFrame:
+    """A check of the rate against SQL: plain ASCII first lines only. Whole texts are in ``text_error_rate``."""
     p = table(spark, base, "page_extraction", "page_id", "document_id", "page", "text").withColumn("line", F.substring_index("text", "\n", 1))
     b = p.select("document_id", "page", F.col("page_id").alias("other"), F.col("line").alias("hyp"))
     both = p.join(b, ["document_id", "page"]).filter("page_id < other").select(F.col("page_id").alias("ident"), F.col("line").alias("ref"), "hyp").distinct()
     return both.filter(F.concat("ref", "hyp").rlike("^[ -~]*$")).select("ident", metrics.error_rate(F.col("ref"), F.col("hyp")).alias("cer"))
 
 
+@query()
+def text_error_rate(spark: SparkSession, base: str) -> DataFrame:
+    """(ident, other, cer) of the whole texts of every pair of sources of a page."""
+    p = table(spark, base, "page_extraction", "page_id", "document_id", "page", "text")
+    b = p.select("document_id", "page", F.col("page_id").alias("other"), F.col("text").alias("hyp"))
+    both = p.join(b, ["document_id", "page"]).filter("page_id < other").select(F.col("page_id").alias("ident"), "other", F.col("text").alias("ref"), "hyp").distinct()
+    return both.select("ident", "other", metrics.text_error_rate("ref", "hyp").alias("cer"))
+
+
 @query("""
 WITH s AS (SELECT DISTINCT entity_id, matter_id, lower(trim(canonical_id)) AS c, text FROM syn_hybrid WHERE canonical_id IS NOT NULL AND matter_id IS NOT NULL),
 k AS (SELECT matter_id, c, count(*) AS mentions, count(DISTINCT text) AS spellings FROM s GROUP BY 1, 2)

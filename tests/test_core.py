@@ -3,11 +3,13 @@ import hashlib
 import hmac
 import random
 import re
+import unicodedata
 
 from pyspark.sql import functions as F
 
 from maskwell.functions import boxes, checks, keyed, strings
 from maskwell.operators import curation, layout, metrics, needles, rules, spans, surrogates
+from maskwell.plans import registry
 
 UNIT = "document_id string, page int, field string, text_source_id string"
 
@@ -246,3 +248,26 @@ def test_surrogate_numbers_never_pass_their_check(spark):
     df = spark.createDataFrame([("123 456 782",), ("459-599-230",), ("",), (None,)], "x string").coalesce(1)
     rows = surrogates.with_unusable(df, "x", "tfn", b"k", out="s").withColumn("ok", checks.tfn_valid("s")).collect()
     assert not any(r["ok"] for r in rows) and re.fullmatch(r"\d{3} \d{3} \d{3}", rows[0]["s"]) and re.fullmatch(r"\d{3}-\d{3}-\d{3}", rows[1]["s"])
+
+
+def test_error_rate_of_whole_texts_against_brute_force(spark, tmp_path):
+    rng = random.Random(11)
+    text = lambda: "".join(rng.choice("ab é\nﬁ𝄞") for _ in range(rng.randrange(40)))
+    pages = [(2 * d + s, d, 1, text()) for d in range(40) for s in (0, 1)]
+    pages += [(100, 50, 1, "same\nline two é"), (101, 50, 1, "same\nline tw0 e"), (102, 51, 1, None), (103, 51, 1, "x"), (104, 52, 1, " \n"), (105, 52, 1, None), pages[0]]
+    spark.createDataFrame(pages, "page_id long, document_id long, page int, text string").write.parquet(f"{tmp_path}/page_extraction.parquet")
+
+    def brute(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    by = {}
+    for p in set(pages):
+        by.setdefault(p[1], []).append((p[0], " ".join(unicodedata.normalize("NFKC", p[3] or "").split())))
+    want = {(r[0], h[0], round(brute(r[1], h[1]) / len(r[1]), 4) if r[1] else 1.0 if h[1] else None) for r, h in map(sorted, by.values())}
+    got = registry.QUERIES["text_error_rate"](spark, str(tmp_path)).collect()
+    assert len(got) == 43 and {tuple(r) for r in got} == want
