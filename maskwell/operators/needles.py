@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MOST_WORDS = 6
+# Characters that recognition confuses, and punctuation around words.
+CONFUSED = ("01i|58", "olllsb")
+OUTER = r"""^[.,;:()"']+|[.,;:()"']+$"""
 
 
 def words(col: Column) -> Column:
@@ -49,17 +52,33 @@ def scan_digits(texts: DataFrame, ident: str, text: str, needles: DataFrame, nee
 
 
 def scan_fuzzy(texts: DataFrame, ident: str, text: str, needles: DataFrame, needle: str, least: int = 6) -> DataFrame:
-    """(ident, needle, word): words one edit away from a one-word needle.
+    """(ident, needle, word): k-word runs at most one edit away from a k-word needle, but not equal to it.
 
-    Both sides emit single-character deletes and meet on them.
+    Confusable characters count as equal. Texts are read both as runs between
+    blanks, outer punctuation removed, and as runs of letters and digits. Both
+    sides of one word emit single-character deletes and meet on them; of more
+    words all but one are equal, so these meet on their first word or the rest.
     """
-    def deletes(c: str) -> Column:
-        cut = F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(F.col(c), F.lit(1), i - 1), F.substring(F.col(c), i + 1, F.length(c))))
-        return F.array_distinct(F.array_append(cut, F.col(c)))
-
-    n = needles.select(F.lower(needle).alias("_n")).filter(F.length("_n") >= least).distinct().filter(~F.col("_n").contains(" "))
-    w = texts.select(F.col(ident).alias("_id"), F.explode(words(F.col(text))).alias("_w")).filter(F.length("_w") >= least - 1).distinct()
-    left = n.withColumn("_key", F.explode(deletes("_n")))
-    right = w.select("_w").distinct().withColumn("_key", F.explode(deletes("_w")))
-    near = left.join(right, "_key").filter(F.levenshtein("_n", "_w") == 1).select("_n", "_w").distinct()
-    return w.join(near, "_w").select(F.col("_id").alias(ident), F.col("_n").alias("needle"), F.col("_w").alias("word")).distinct()
+    def blanks(col: Column) -> Column:
+        return F.filter(F.transform(F.split(F.lower(col), r"\s+"), lambda x: F.regexp_replace(x, OUTER, "")), lambda x: x != "")
+
+    def keys(c: str) -> Column:
+        f = F.translate(F.col(c), *CONFUSED)
+        cut = F.transform(F.sequence(F.lit(1), F.length(f)), lambda i: F.concat(F.substring(f, F.lit(1), i - 1), F.substring(f, i + 1, F.length(f))))
+        ends = F.array(F.concat(F.lit("< "), F.substring_index(f, " ", 1)), F.concat(F.lit("> "), F.regexp_replace(f, "^[^ ]+ ", "")))
+        return F.when(F.col("_k") == 1, F.array_distinct(F.array_append(cut, f))).otherwise(ends)
+
+    whole = F.trim(F.regexp_replace(F.lower(needle), r"\s+", " "))
+    n = needles.select(whole.alias("_n"), F.explode(F.array(F.split(whole, " "), blanks(F.col(needle)), words(F.col(needle)))).alias("_w")).filter(F.length("_n") >= least)
+    n = n.select("_n", F.concat_ws(" ", "_w").alias("_f"), F.size("_w").alias("_k")).filter(F.length("_f") >= least).distinct()
+    lengths = sorted(r["_k"] for r in n.select("_k").distinct().collect())
+    t = texts.select(F.col(ident).alias("_id"), F.explode(F.array(blanks(F.col(text)), words(F.col(text)))).alias("_tw"))
+    every = F.flatten(F.array(*[_grams(k).cast("array<struct<_k:int,_i:int,_key:string>>") for k in lengths])) if lengths else F.array().cast("array<struct<_k:int,_i:int,_key:string>>")
+    w = t.select("_id", F.explode(every).alias("_g")).select("_id", "_g._k", F.col("_g._key").alias("_w")).filter(F.length("_w") >= least - 1).distinct()
+    left = n.withColumn("_key", F.explode(keys("_f")))
+    right = w.select("_k", "_w").distinct().withColumn("_key", F.explode(keys("_w")))
+    close = F.levenshtein(F.translate("_f", *CONFUSED), F.translate("_w", *CONFUSED), 1) >= 0
+    near = left.join(right, ["_k", "_key"]).filter(close).select("_n", "_k", "_w").distinct()
+    # What equals a form of the needle is an exact hit, not a near one.
+    near = near.join(n.select("_n", F.col("_f").alias("_w")), ["_n", "_w"], "left_anti")
+    return w.join(near, ["_k", "_w"]).select(F.col("_id").alias(ident), F.col("_n").alias("needle"), F.col("_w").alias("word")).distinct()

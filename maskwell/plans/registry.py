@@ -458,14 +458,14 @@ def leaked_digits(spark: SparkSession, base: str) -> DataFrame:
 
 @query()
 def leaked_names(spark: SparkSession, base: str) -> DataFrame:
-    n = table(spark, base, "gold_mention", "entity_type", "text").filter("entity_type = 'PERSON' AND text LIKE '% %'")
+    n = table(spark, base, "gold_mention", "entity_type", "text").filter("entity_type = 'PERSON'")
     return needles.scan_exact(table(spark, base, "documents", "doc_id", "text"), "doc_id", "text", n, "text")
 
 
 @query()
 def near_names(spark: SparkSession, base: str) -> DataFrame:
     n = table(spark, base, "link_group", "surnames").select(F.explode("surnames").alias("s"))
-    return needles.scan_fuzzy(table(spark, base, "page_extraction", "page_id", "text"), "page_id", "text", n, "s", 8)
+    return needles.scan_fuzzy(table(spark, base, "page_extraction", "page_id", "text"), "page_id", "text", n, "s")
 
 
 @query()

@@ -271,3 +271,19 @@ def test_error_rate_of_whole_texts_against_brute_force(spark, tmp_path):
     want = {(r[0], h[0], round(brute(r[1], h[1]) / len(r[1]), 4) if r[1] else 1.0 if h[1] else None) for r, h in map(sorted, by.values())}
     got = registry.QUERIES["text_error_rate"](spark, str(tmp_path)).collect()
     assert len(got) == 43 and {tuple(r) for r in got} == want
+
+
+def test_short_and_several_word_names_are_searched(spark, tmp_path):
+    base = str(tmp_path)
+    spark.createDataFrame([("PERSON", "Ashdale"), ("PERSON", "Wren\nAshdale"), ("DATE", "May")], "entity_type string, text string").write.parquet(f"{base}/gold_mention.parquet")
+    spark.createDataFrame([(1, "Ms Ashdale met Wren Ashdale in May."), (2, None)], "doc_id long, text string").write.parquet(f"{base}/documents.parquet")
+    got = {tuple(r) for r in registry.QUERIES["leaked_names"](spark, base).collect()}
+    assert got == {(1, "Ashdale", 2), (1, "Wren\nAshdale", 1)}
+    spark.createDataFrame([(["Wilson", "van  Dijken", "O'Brien", "Li"],)], "surnames array<string>").write.parquet(f"{base}/link_group.parquet")
+    pages = [(1, "Mr Wilsen, (W1LSON) and Wilson."), (2, "van Dijkem; von Dijken; van dijken; van den Dijken"), (3, "OBrien, O'Brian, O'Brien"), (4, None), (5, "Wi|son/Wilton's")]
+    spark.createDataFrame(pages, "page_id long, text string").write.parquet(f"{base}/page_extraction.parquet")
+    got = {tuple(r) for r in registry.QUERIES["near_names"](spark, base).collect()}
+    assert got == {
+        (1, "wilson", "wilsen"), (1, "wilson", "w1lson"), (2, "van dijken", "van dijkem"), (2, "van dijken", "von dijken"),
+        (3, "o'brien", "obrien"), (3, "o'brien", "o'brian"), (3, "o'brien", "o brian"), (5, "wilson", "wilton"),
+    }
