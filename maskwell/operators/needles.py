@@ -43,11 +43,23 @@ def scan_exact(texts: DataFrame, ident: str, text: str, needles: DataFrame, need
 
 
 def scan_digits(texts: DataFrame, ident: str, text: str, needles: DataFrame, needle: str, least: int = 6) -> DataFrame:
-    """(ident, needle): digit runs, separators removed, equal to a needle's digits."""
+    """(ident, needle): needles whose digits stand inside a digit run, separators removed.
+
+    Runs emit their substrings of the lengths that occur among the needles.
+    """
     d = F.regexp_replace(F.col(needle), "[^0-9]", "")
     n = needles.select(d.alias("_d")).filter(F.length("_d") >= least).distinct()
-    runs = F.regexp_extract_all(F.col(text), F.lit(r"\d(?:[ \-]?\d){" + str(least - 1) + r",}"), F.lit(0))
-    t = texts.select(F.col(ident).alias("_id"), F.explode(runs).alias("_run")).select("_id", F.regexp_replace("_run", "[^0-9]", "").alias("_d"))
+    lengths = sorted(r["_k"] for r in n.select(F.length("_d").alias("_k")).distinct().collect())
+    found = F.regexp_extract_all(F.col(text), F.lit(r"\d[\d \-/.]{" + str(max(0, least - 2)) + r",}\d"), F.lit(0))
+    runs = F.array_distinct(F.transform(found, lambda r: F.regexp_replace(r, "[^0-9]", "")))
+    t = texts.select(F.col(ident).alias("_id"), F.explode(runs).alias("_run"))
+
+    def parts(k: int) -> Column:
+        cut = F.transform(F.sequence(F.lit(1), F.length("_run") - (k - 1)), lambda i: F.substring(F.col("_run"), i, F.lit(k)))
+        return F.when(F.length("_run") >= k, cut).otherwise(F.array().cast("array<string>"))
+
+    every = F.array_distinct(F.flatten(F.array(*[parts(k) for k in lengths]))) if lengths else F.array().cast("array<string>")
+    t = t.select("_id", F.explode(every).alias("_d"))
     return t.join(n, "_d").select(F.col("_id").alias(ident), F.col("_d").alias("needle")).distinct()
 
 

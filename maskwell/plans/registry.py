@@ -452,8 +452,9 @@ WITH n AS (SELECT DISTINCT regexp_replace(text, '[^0-9]', '', 'g') AS d FROM gol
 t AS (SELECT doc_id, regexp_replace(unnest(regexp_extract_all(text, '[0-9](?:[ \\-]?[0-9]){7,}')), '[^0-9]', '', 'g') AS d FROM documents)
 SELECT DISTINCT doc_id, d AS needle FROM t JOIN n USING (d) WHERE length(d) >= 8""")
 def leaked_digits(spark: SparkSession, base: str) -> DataFrame:
+    """The SQL compares whole runs of 8 digits or more and so finds less: needles inside longer runs or of 6 digits are not in it."""
     n = table(spark, base, "gold_mention", "entity_type", "text").filter(F.col("entity_type").isin("TFN", "MEDICARE", "PHONE"))
-    return needles.scan_digits(table(spark, base, "documents", "doc_id", "text"), "doc_id", "text", n, "text", 8)
+    return needles.scan_digits(table(spark, base, "documents", "doc_id", "text"), "doc_id", "text", n, "text")
 
 
 @query()

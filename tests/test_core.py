@@ -287,3 +287,14 @@ def test_short_and_several_word_names_are_searched(spark, tmp_path):
         (1, "wilson", "wilsen"), (1, "wilson", "w1lson"), (2, "van dijken", "van dijkem"), (2, "van dijken", "von dijken"),
         (3, "o'brien", "obrien"), (3, "o'brien", "o'brian"), (3, "o'brien", "o brian"), (5, "wilson", "wilton"),
     }
+
+
+def test_digits_inside_longer_runs_are_found(spark, tmp_path):
+    base = str(tmp_path)
+    spark.createDataFrame([("PHONE", "0412 345 678"), ("PHONE", "13 12 34"), ("TFN", "123 456 782"), ("PHONE", "12345"), ("DATE", "2020")], "entity_type string, text string").write.parquet(f"{base}/gold_mention.parquet")
+    docs = [(1, "call 0412.345.678 now"), (2, "no. 7 0412 345 678 12"), (3, "13/12/34"), (4, "ref 99123456782"), (5, "0412 345 67"), (6, None), (7, "12345 0412a345678")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{base}/documents.parquet")
+    got = {tuple(r) for r in registry.QUERIES["leaked_digits"](spark, base).collect()}
+    assert got == {(1, "0412345678"), (2, "0412345678"), (3, "131234"), (4, "123456782")}
+    n = spark.createDataFrame([(None,)], "n string")
+    assert needles.scan_digits(spark.createDataFrame(docs, "i long, t string"), "i", "t", n, "n").count() == 0
