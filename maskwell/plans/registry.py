@@ -102,13 +102,14 @@ def overlap_join(spark: SparkSession, base: str) -> DataFrame:
     return both.select(g["mention_id"], e["edit_id"], (F.least(g["end_off"], e["end_off"]) - F.greatest(g["start_off"], e["start_off"])).alias("chars"))
 
 
+# The rules the SQL beside audit_pool_anti and rule_recall states; the queries run all of them.
 _RULE_NAMES = ["email", "date.dmy", "phone.mobile", "claim", "abn", "titled"]
 
 
 def _predicted(spark: SparkSession, base: str) -> DataFrame:
     """Rule spans of every page with the text unit they stand in."""
     pages = table(spark, base, "page_extraction", "page_id", "document_id", "page", "text_source_id", "text").dropDuplicates(["page_id", "text"])
-    found = rules.rule_spans(pages.select("page_id", "text"), "page_id", "text", *_RULE_NAMES)
+    found = rules.rule_spans(pages.select("page_id", "text"), "page_id", "text")
     unit = pages.select("page_id", "document_id", "page", F.lit(None).cast("string").alias("field"), "text_source_id")
     return found.drop("text", "tier").join(unit, "page_id")
 

@@ -298,3 +298,21 @@ def test_digits_inside_longer_runs_are_found(spark, tmp_path):
     assert got == {(1, "0412345678"), (2, "0412345678"), (3, "131234"), (4, "123456782")}
     n = spark.createDataFrame([(None,)], "n string")
     assert needles.scan_digits(spark.createDataFrame(docs, "i long, t string"), "i", "t", n, "n").count() == 0
+
+
+def test_recall_and_audit_pool_run_every_rule(spark, tmp_path):
+    base = str(tmp_path)
+    lines = ["3 May 2020", "2020-05-03", "(02) 9999 1234", "1300 123 456", "1800 123 456", "PO Box 12", "12 Long Street", "N1234567", "www.a.com/b", "a@b.com", "3/5/2020", "0412 345 678", "WC1234567", "ABN 51 824 753 556", "Dr Wren"]
+    unit = "document_id string, page int, field string, text_source_id string"
+    text = "\n".join(lines)
+    spark.createDataFrame([(1, "d", 1, "s", text), (2, "e", 1, "s", text)], "page_id long, document_id string, page int, text_source_id string, text string").write.parquet(f"{base}/page_extraction.parquet")
+    kinds = {r: k for r, (k, _, _) in rules.RULES.items()}
+    found = {(p, r["rule"]): (r["start_off"], r["end_off"]) for r in rules.rule_spans(spark.createDataFrame([(1, text)], "p long, t string"), "p", "t").collect() for p in (1, 2)}
+    assert {r for _, r in found} == set(rules.RULES)
+    gold = [(f"m{i}", "d", 1, None, "s", *found[1, r], k) for i, (r, k) in enumerate(sorted(kinds.items()))]
+    spark.createDataFrame(gold, f"mention_id string, {unit}, start_off int, end_off int, entity_type string").write.parquet(f"{base}/gold_mention.parquet")
+    got = {r["entity_type"]: (r["n"], r["found"]) for r in registry.QUERIES["rule_recall"](spark, base).collect()}
+    want = {k: list(kinds.values()).count(k) for k in kinds.values()}
+    assert got == {k: (n, n) for k, n in want.items()}
+    pool = {(r["page_id"], r["rule"], r["start_off"]) for r in registry.QUERIES["audit_pool_anti"](spark, base).collect()}
+    assert pool == {(2, r, found[2, r][0]) for r in kinds}
