@@ -22,9 +22,9 @@ def hash_changes(frozen: DataFrame, current: DataFrame, ident: str, digest: str)
 
 
 def opaque_ids(df: DataFrame, scope: str, kind: str, ident: str) -> DataFrame:
-    """Adds ``opaque_id``: scope/kind_NNN by the order of ids within scope and kind."""
+    """Adds ``opaque_id``: scope/kind_NNN by the order of ids within scope and kind; more digits from the 1,000th on."""
     w = Window.partitionBy(scope, kind).orderBy(ident)
-    return df.withColumn("opaque_id", F.concat(F.col(scope), F.lit("/"), F.lower(F.col(kind)), F.lit("_"), F.lpad(F.dense_rank().over(w).cast("string"), 3, "0")))
+    return df.withColumn("opaque_id", F.concat(F.col(scope), F.lit("/"), F.lower(F.col(kind)), F.lit("_"), F.format_string("%03d", F.dense_rank().over(w))))
 
 
 def stratified_top(df: DataFrame, stratum: str, n: int, seed: str, *ident: str) -> DataFrame:

@@ -316,3 +316,9 @@ def test_recall_and_audit_pool_run_every_rule(spark, tmp_path):
     assert got == {k: (n, n) for k, n in want.items()}
     pool = {(r["page_id"], r["rule"], r["start_off"]) for r in registry.QUERIES["audit_pool_anti"](spark, base).collect()}
     assert pool == {(2, r, found[2, r][0]) for r in kinds}
+
+
+def test_opaque_ids_stay_apart_beyond_a_thousand(spark):
+    g = spark.createDataFrame([("m", "PERSON", i) for i in range(1, 1102)], "s string, k string, g long")
+    got = {r["g"]: r["opaque_id"] for r in curation.opaque_ids(g, "s", "k", "g").collect()}
+    assert got == {i: f"m/person_{i:03d}" for i in range(1, 1102)}
