@@ -22,20 +22,30 @@ RESERVED_DOMAINS = ["example.com", "example.org", "example.net"]
 def issue(values: DataFrame, pool: DataFrame, key: bytes, scope: str = "matter_id", kind: str = "kind", value: str = "value") -> DataFrame:
     """(scope, kind, value, surrogate): injective within scope and kind.
 
-    ``pool``: kind, surrogate. Values beyond the pool get a hyphenated pair of
-    pool entries, so none goes without. Nulls are left out.
+    ``pool``: kind, surrogate. Values beyond the pool get hyphenated runs of
+    pool entries, pairs first, as many parts as their rank needs, so none goes
+    without and none shares one (pool entries with hyphens could imitate a run).
+    Nulls are left out.
     """
     real = values.select(scope, kind, value).dropna().distinct()
     size = pool.groupBy(kind).agg(F.countDistinct("surrogate").alias("_size"))
     rank = F.row_number().over(Window.partitionBy(scope, kind).orderBy(hmac_hex(key, scope, kind, value), value)) - 1
-    real = real.withColumn("_r", rank).join(size, kind)
+    real = real.withColumn("_r", rank.cast("long")).join(size, kind)
     place = F.row_number().over(Window.partitionBy(kind).orderBy(hmac_hex(key, kind, "surrogate"), "surrogate")) - 1
-    ranked = pool.select(kind, "surrogate").distinct().withColumn("_p", place)
-    first = ranked.select(kind, F.col("_p").alias("_a"), F.col("surrogate").alias("_sa"))
-    second = ranked.select(kind, F.col("_p").alias("_b"), F.col("surrogate").alias("_sb"))
-    real = real.withColumn("_a", F.col("_r") % F.col("_size")).withColumn("_b", (F.floor(F.col("_r") / F.col("_size")) - 1).cast("long"))
-    out = real.join(first, [kind, "_a"]).join(second, [kind, "_b"], "left")
-    return out.select(scope, kind, value, F.when(F.col("_r") < F.col("_size"), F.col("_sa")).otherwise(F.concat_ws("-", "_sa", "_sb")).alias("surrogate"))
+    ranked = pool.select(kind, "surrogate").dropna().distinct().withColumn("_p", place.cast("long"))
+    # The rank in base pool size without a zero digit, lowest place first: ranks and runs are one to one.
+    most = F.when(F.col("_size") == 1, F.col("_r") + 1).otherwise(F.floor(F.log2(F.col("_r") + 2)) + 1).cast("int")
+    start = F.struct(F.col("_r").alias("q"), F.array().cast("array<bigint>").alias("parts"))
+
+    def step(s: Column, _: Column) -> Column:
+        digit = s["q"] % F.col("_size")
+        more = F.struct((((s["q"] - digit) / F.col("_size")).cast("long") - 1).alias("q"), F.array_append(s["parts"], digit).alias("parts"))
+        return F.when(s["q"] >= 0, more).otherwise(s)
+
+    parts = F.aggregate(F.sequence(F.lit(1), most), start, step)["parts"]
+    each = real.select(scope, kind, value, F.posexplode(parts).alias("_i", "_p")).join(ranked, [kind, "_p"])
+    whole = each.groupBy(scope, kind, value).agg(F.array_sort(F.collect_list(F.struct("_i", "surrogate"))).alias("_s"))
+    return whole.select(scope, kind, value, F.concat_ws("-", F.col("_s.surrogate")).alias("surrogate"))
 
 
 def lookup_key(key: bytes, *parts: Column | str) -> Column:

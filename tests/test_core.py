@@ -322,3 +322,15 @@ def test_opaque_ids_stay_apart_beyond_a_thousand(spark):
     g = spark.createDataFrame([("m", "PERSON", i) for i in range(1, 1102)], "s string, k string, g long")
     got = {r["g"]: r["opaque_id"] for r in curation.opaque_ids(g, "s", "k", "g").collect()}
     assert got == {i: f"m/person_{i:03d}" for i in range(1, 1102)}
+
+
+def test_every_value_has_its_own_surrogate_beyond_all_pairs(spark):
+    vals = spark.createDataFrame([("m", k, f"n{i}") for k, n in (("surname", 95), ("single", 5)) for i in range(n)], "matter_id string, kind string, value string")
+    pool = spark.createDataFrame([("surname", s) for s in ("Ash", "Birch", "Cole", "Dunn", None)] + [("single", "Elm")], "kind string, surrogate string")
+    got = surrogates.issue(vals, pool, b"k")
+    forms = [r["surrogate"] for r in got.filter("kind = 'surname'").collect()]
+    assert len(forms) == len(set(forms)) == 95 and sorted(map(lambda f: f.count("-"), forms)) == [0] * 4 + [1] * 16 + [2] * 64 + [3] * 11
+    assert {r["surrogate"] for r in got.filter("kind = 'single'").collect()} == {"-".join(["Elm"] * n) for n in range(1, 6)}
+    index = surrogates.reverse_index(got.filter("kind = 'surname'"))
+    back = surrogates.restored_tokens(index.select("matter_id", F.col("surrogate").alias("token")), index).collect()
+    assert {r["restored"].lower() for r in back} == {f"n{i}" for i in range(95)}
