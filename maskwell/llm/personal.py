@@ -1,9 +1,10 @@
 """Personal information inside free text.
 
 Method: anchor expansion. An Aho-Corasick automaton finds cues (at-signs and
-their evasions, identifier labels, street words, box words, dial prefixes) in
-one pass; deterministic parsers expand each cue to its left and right and
-validate the boundaries. Cues are matched in a folded alphabet in which the
+their evasions, identifier labels) in one pass; deterministic parsers expand
+each label to its left and right and validate the boundaries. At-signs only
+switch on the pattern for e-mail addresses; phone numbers, streets and boxes
+are read by plain patterns over the whole text. Cues are matched in a folded alphabet in which the
 usual scanner confusions coincide, so a misread label still leads to its number.
 Names of people have no cue of their own: they are read from a token grammar
 (titles, initials, particles, either order) over a lexicon of given names and
