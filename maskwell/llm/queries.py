@@ -37,10 +37,7 @@ def p3_split(spark: SparkSession, base: str) -> DataFrame:
 
 @query
 def p3_shares(spark: SparkSession, base: str) -> DataFrame:
-    done = p3_split(spark, base)
-    counts = done.groupBy("split").agg(F.count("*").alias("documents"))
-    total = done.agg(F.count("*").alias("total"))
-    return counts.crossJoin(F.broadcast(total)).select("split", "documents", (F.col("documents") / F.col("total")).alias("share"))
+    return splits.split_report(p3_split(spark, base))
 
 
 @query
@@ -101,7 +98,7 @@ def p8_found(spark: SparkSession, base: str) -> DataFrame:
 @query
 def p8_coherence(spark: SparkSession, base: str) -> DataFrame:
     docs = table(spark, base, "documents", "doc_id", "text")
-    return stuffing.stuffing_share(docs).select(F.col("h").alias("text_md5"), "share")
+    return stuffing.stuffing_share(docs).select(F.col("h").alias("text_md5"), "coherence", "share")
 
 
 @query

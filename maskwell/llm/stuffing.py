@@ -1,24 +1,27 @@
 """Keyword-stuffed pages and link lists.
 
-Method: a text is cut into segments (lines, sentences, items between
-separators). Neighbouring words are counted over all *distinct* segments of the
-corpus, and each segment's coherence is the mean pointwise mutual information
-of its neighbours, taken as the excess of the word order found over the
-reverse order: prose has a direction, strung-together keywords do not. A
-segment counts as stuffing if it is
-
-* incoherent keyword salad (coherence below ``COHERENCE`` over many pairs and
-  few words that carry grammar; scrambled prose is no keyword string),
-* an excessively repeated collocation (word pairs with a content word that recur inside the
-  segment or run of items cover ``REPEATED`` of it),
-* a run of bare items (menu entries, tags, hash tags, price lines), or
-* mostly addresses of links.
-
-A document is found when stuffing covers more than ``SHARE`` of its characters.
-Ordinary sentences that recur whole, form fields with labels, bullet lists and
-single links are not stuffing.
-
-Copies of a text are judged once. Null and empty texts are never found.
+Method: words of distinct texts are counted over the whole corpus, alone and as
+neighbours ``REACH`` words apart, and give the pointwise mutual information of
+every neighbour pair, ln(1 + P(ab) / P(a)P(b)). The coherence of a text is the
+mean PMI of its neighbours in the order found less that of the same neighbours
+turned round: prose has a direction, strung-together keywords have none once
+the pair reaches beyond one keyword phrase. The text's own pairs are left out of
+the counts it is judged by, so that a text does not vouch for itself.
+
+Only texts below ``COHERENCE`` come further. There an exact check of their form
+follows: the share of their characters in
+
+* word salad (little grammar, in texts below ``SALAD``),
+* excessively repeated collocations (pairs with a content word that recur inside
+  a sentence or run of items cover ``REPEATED`` of it),
+* runs of bare items (menu entries, tags, price lines), and addresses of links.
+
+A document is found where that share exceeds ``SHARE``. Ordinary sentences that
+recur whole, form fields with labels, bullet lists and single links are no part
+of it.
+
+Copies of a text are judged once. Null and empty texts are never found; a text
+too short for a pair counts as incoherent, so its form alone decides.
 """
 
 from __future__ import annotations
@@ -26,18 +29,24 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from maskwell.runtime import stage
 
 SHARE = 0.5
 REPEATED = 0.4
 RECURS = 3
-COHERENCE = 0.9
-SALAD_PAIRS = 12
+#: Neighbours are this many words apart: further than a keyword phrase is long.
+REACH = 4
+COHERENCE = 1.8
+SALAD = 0.8
+SALAD_WORDS = 12
+#: Pairs above this share of all pairs (so fewer than 1 / HOT) are joined by broadcast.
+HOT = 1 / 4096
 RUN_ITEMS = 5
 ITEM_WORDS = 7
 KEYWORD_STRING = 40
@@ -59,6 +68,8 @@ _LINK = re.compile(
 _CUT = re.compile(r"\n+|\s[|»›•·>→–—]+\s|\s{2,}|\t+")
 _SENTENCE = re.compile(r"(?<=[.!])\s+(?=[^\W\d_])")
 _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
+_LETTERS = re.compile(r"[^\W\d_]+")
+_MIX = np.int64(-7046029254386353131)
 _HASH = re.compile(r"#\w+")
 _LABEL = re.compile(r"^\s*[^\W\d_][\w '’./\-]{0,30}:\s*\S")
 _BULLET = re.compile(r"^\s*(?:[-*•·]|\d+[.)])\s+")
@@ -86,7 +97,7 @@ def _is_item(piece: str, words: list[str]) -> bool:
 
 
 def segments_of(text: str) -> list[tuple[int, bool, str]]:
-    """(characters, is stuffing by form, words for the coherence test)."""
+    """(characters, is stuffing by form, words of what is not)."""
     out: list[tuple[int, bool, str]] = []
 
     def link(m: re.Match) -> str:
@@ -150,53 +161,92 @@ def segments_of(text: str) -> list[tuple[int, bool, str]]:
     return out
 
 
-_SEGMENTS = T.ArrayType(
-    T.StructType([T.StructField("chars", T.IntegerType()), T.StructField("form", T.BooleanType()), T.StructField("words", T.StringType())])
-)
+_SHAPE = "h string, chars int, form int, salad int, pairs int, key array<long>, lo array<long>, hi array<long>, ahead array<int>, back array<int>, words array<long>, times array<int>"
+
 
+def _word_hashes(text: str, memo: dict[str, int]) -> np.ndarray:
+    out = []
+    for w in _LETTERS.findall(text.lower()):
+        k = memo.get(w)
+        if k is None:
+            k = memo[w] = xxhash.xxh64_intdigest(w) - (1 << 63)
+        out.append(k)
+    return np.array(out, dtype=np.int64)
 
-@F.pandas_udf(_SEGMENTS)
-def _segments(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: [{"chars": c, "form": f, "words": w} for c, f, w in segments_of(t)])
 
+def neighbour_counts(ids: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(key, lo, hi, ahead, back): unordered neighbour pairs with how often lo or hi comes first."""
+    a, b = ids[:-REACH], ids[REACH:]
+    keep = a != b
+    a, b = a[keep], b[keep]
+    if not len(a):
+        none = np.zeros(0, np.int64)
+        return none, none, none, none, none
+    lo, hi = np.minimum(a, b), np.maximum(a, b)
+    key, first, at = np.unique(lo * _MIX + hi, return_index=True, return_inverse=True)
+    ahead = np.bincount(at, weights=a < b, minlength=len(key)).astype(np.int64)
+    return key, lo[first], hi[first], ahead, np.bincount(at, minlength=len(key)) - ahead
 
-def segment_coherence(segments: DataFrame) -> DataFrame:
-    """(words, pairs, coherence) of each distinct non-empty ``words`` string.
 
-    Coherence is mean log(c(ab) + 1/2) - log(c(ba) + 1/2) over neighbours: the
-    difference of their PMI in the order found and in the reverse order, in
-    which the single-word counts cancel.
-    """
-    one = segments.select("words").filter("words <> ''").distinct()
-    w = F.split("words", " ")
-    pairs = one.withColumn("w", w).filter(F.size("w") > SALAD_PAIRS).select(
-        "words", F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1)))).alias("ab")
-    )
-    every = one.withColumn("w", w).filter(F.size("w") > 1).select(
-        F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1)))).alias("ab")
-    )
-    counts = every.groupBy("ab").agg(F.count("*").alias("n"))
-    turned = F.concat_ws(" ", F.element_at(F.split("ab", " "), 2), F.element_at(F.split("ab", " "), 1))
-    back = counts.select(turned.alias("ab"), F.col("n").alias("m"))
-    excess = counts.join(back, "ab", "left").select("ab", (F.ln(F.col("n") + 0.5) - F.ln(F.coalesce("m", F.lit(0)) + 0.5)).alias("x"))
-    return pairs.join(excess, "ab").groupBy("words").agg(F.count("*").alias("pairs"), F.avg("x").alias("coherence"))
+def _read(batches):
+    """What the judgement needs of each text, in one pass over it."""
+    memo: dict[str, int] = {}
+    for b in batches:
+        if len(memo) > 500_000:
+            memo.clear()
+        out = []
+        for h, t in zip(b["h"], b["t"]):
+            chars = form = salad = 0
+            for c, bad, words in segments_of(t):
+                chars += c
+                form += c * bad
+                w = words.split()
+                if not bad and len(w) > SALAD_WORDS and sum(x in FUNCTION_WORDS for x in w) < GRAMMAR * len(w):
+                    salad += c
+            ids = _word_hashes(t, memo)
+            key, lo, hi, ahead, back = neighbour_counts(ids)
+            words, times = np.unique(ids, return_counts=True)
+            out.append((h, chars, form, salad, int(ahead.sum() + back.sum()), key, lo, hi, ahead, back, words, times))
+        yield pd.DataFrame(out, columns=["h", "chars", "form", "salad", "pairs", "key", "lo", "hi", "ahead", "back", "words", "times"])
+
+
+def neighbour_information(read: DataFrame) -> DataFrame:
+    """(key, ahead, back, unit) over all texts: counts of each pair and total / (count(lo) * count(hi))."""
+    words = read.select(F.explode(F.arrays_zip("words", "times")).alias("x")).groupBy("x.words").agg(F.sum("x.times").cast("double").alias("n"))
+    total = words.agg(F.sum("n").alias("total"))
+    pairs = read.select(F.explode(F.arrays_zip("key", "lo", "hi", "ahead", "back")).alias("x")).groupBy("x.key").agg(F.min("x.lo").alias("lo"), F.min("x.hi").alias("hi"), F.sum("x.ahead").alias("ahead"), F.sum("x.back").alias("back"))
+    both = pairs.join(words.select(F.col("words").alias("lo"), F.col("n").alias("n1")), "lo").join(words.select(F.col("words").alias("hi"), F.col("n").alias("n2")), "hi")
+    return both.crossJoin(F.broadcast(total)).select("key", "ahead", "back", (F.col("total") / (F.col("n1") * F.col("n2"))).alias("unit"))
+
+
+def text_coherence(read: DataFrame) -> DataFrame:
+    """(h, coherence): mean PMI of the neighbours as found less that in reverse order."""
+    info, _ = stage(neighbour_information(read), "pmi")
+    every = info.agg(F.sum(F.col("ahead") + F.col("back")).alias("every"))
+    hot = info.crossJoin(F.broadcast(every)).withColumn("hot", F.col("ahead") + F.col("back") > HOT * F.col("every")).drop("every")
+    rows = read.select("h", F.explode(F.arrays_zip("key", "ahead", "back")).alias("x")).select("h", "x.key", F.col("x.ahead").alias("a"), F.col("x.back").alias("b")).filter("a <> b")
+    # At most 1 / HOT pairs are hot by definition; the others have no row that many texts wait for.
+    few = F.broadcast(hot.filter("hot").drop("hot"))
+    near = rows.join(few, "key")
+    rest = rows.join(few.select("key"), "key", "left_anti").join(hot.filter("NOT hot").drop("hot"), "key")
+    pmi = lambda n, own: F.ln(1 + (F.col(n) - F.col(own)) * F.col("unit"))
+    gain = ((F.col("a") - F.col("b")) * (pmi("ahead", "a") - pmi("back", "b"))).alias("gain")
+    sums = near.select("h", gain).union(rest.select("h", gain)).groupBy("h").agg(F.sum("gain").alias("gain"))
+    return read.select("h", "pairs").join(sums, "h", "left").select("h", F.when(F.col("pairs") > 0, F.coalesce("gain", F.lit(0.0)) / F.col("pairs")).otherwise(F.lit(0.0)).alias("coherence"))
 
 
 def stuffing_share(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(h, share): of each distinct text, by md5, the share of characters that is stuffing."""
+    """(h, coherence, share): of each distinct text, by md5, its coherence and the share of characters of stuffed form."""
     texts = docs.select(F.col(text).alias("t")).filter("t IS NOT NULL AND trim(t) <> ''").select(F.md5("t").alias("h"), "t")
     texts = texts.groupBy("h").agg(F.first("t").alias("t"))
-    seg, _ = stage(texts.select("h", F.explode(_segments("t")).alias("s")).select("h", "s.*"), "segments")
-    coherent = segment_coherence(seg)
-    grammar = F.size(F.filter(F.split("words", " "), lambda w: w.isin(sorted(FUNCTION_WORDS)))) / F.size(F.split("words", " "))
-    salad = coherent.filter((F.col("pairs") >= SALAD_PAIRS) & (F.col("coherence") < COHERENCE) & (grammar < GRAMMAR))
-    salad = salad.select("words", F.lit(True).alias("salad"))
-    judged = seg.join(salad, "words", "left").withColumn("bad", F.col("form") | F.coalesce("salad", F.lit(False)))
-    return judged.groupBy("h").agg((F.sum(F.when(F.col("bad"), F.col("chars")).otherwise(0)) / F.greatest(F.sum("chars"), F.lit(1))).alias("share"))
+    read, _ = stage(texts.mapInPandas(_read, _SHAPE), "neighbours")
+    judged = read.select("h", "chars", "form", "salad").join(text_coherence(read), "h")
+    stuffed = F.col("form") + F.when(F.col("coherence") < SALAD, F.col("salad")).otherwise(0)
+    return judged.select("h", "coherence", (stuffed / F.greatest("chars", F.lit(1))).alias("share"))
 
 
 def stuffed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, share) of the documents that are more stuffing than text."""
-    bad = stuffing_share(docs, text).filter(F.col("share") > SHARE)
+    """(doc_id, coherence, share) of the documents that are incoherent and more stuffing than text."""
+    bad = stuffing_share(docs, text).filter((F.col("coherence") < COHERENCE) & (F.col("share") > SHARE))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.md5(F.col(text)).alias("h")).dropna().distinct()
-    return rows.join(bad, "h").select("doc_id", "share")
+    return rows.join(bad, "h").select("doc_id", "coherence", "share")
