@@ -5,11 +5,13 @@ edges to its smallest document only (a star, never all pairs), so a key held by
 a third of all rows costs one row per holder. Components come from hash-to-min:
 each node sends its cluster to the cluster's minimum and the minimum to the
 cluster, held as (node, member) rows, until nothing changes. Components then
-go to splits by weighted rendezvous hashing. Components above a thousandth of
-all documents (so fewer than a thousand of them) are placed first, largest
-first, among the splits that still have room; the many small ones hash against
-the room that is left. That keeps proportions near the targets although one
-component may hold a large part of the data.
+go to splits by weighted rendezvous hashing with the stated weights, each by its
+own name alone, so that no component moves because another one appears or grows.
+
+A component that holds a large part of the documents can take the shares away
+from their targets. ``split_report`` shows it; it can be answered, once and for
+all rows alike, by naming the split of that component in ``pins`` or by other
+``weights``, both stated by the caller and kept for later runs.
 
 Null and placeholder keys relate nothing. Keys differ neither by case nor by
 outer blanks. Repeated deliveries add their keys; a document counts once.
@@ -17,8 +19,6 @@ outer blanks. Repeated deliveries add their keys; a document counts once.
 
 from __future__ import annotations
 
-import hashlib
-import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -38,7 +38,6 @@ EMPTY_DIGESTS = [
     "da39a3ee5e6b4b0d3255bfef95601890afd80709",
 ]
 DEFAULT_WEIGHTS = {"train": 0.8, "validation": 0.1, "test": 0.1}
-HEAD_PARTS = 1000
 
 
 def clean_key(col: Column | str) -> Column:
@@ -123,40 +122,28 @@ def groups_across_matters(manifest: DataFrame, components: DataFrame) -> DataFra
     return components.join(spans, "component").select("document_id", "group_matter_id")
 
 
-def _unit(component: str, split: str) -> float:
-    h = int.from_bytes(hashlib.sha256(f"{component}\x1f{split}".encode()).digest()[:7], "big")
-    return (h + 0.5) / 2.0**56
-
-
-def assign_splits(components: DataFrame, weights: Mapping[str, float] = DEFAULT_WEIGHTS) -> DataFrame:
+def assign_splits(components: DataFrame, weights: Mapping[str, float] = DEFAULT_WEIGHTS, pins: Mapping[str, str] | None = None) -> DataFrame:
     """(document_id, component, split); a component is never divided.
 
-    An empty input gives an empty result.
+    Of all splits a component takes the one with the greatest -weight / ln(u),
+    u its hash with the split in (0, 1). ``pins`` names the split of single
+    components and moves no other. Splits of no weight get nothing; an empty
+    input gives an empty result.
     """
-    total_w = sum(weights.values())
-    sizes = components.groupBy("component").agg(F.count("*").alias("size"))
-    sizes, _ = stage(sizes, "sizes")
-    total = sizes.agg(F.sum("size")).first()[0] or 0
-    room = {s: total * w / total_w for s, w in weights.items()}
-    limit = total / HEAD_PARTS
-    # Fewer than HEAD_PARTS rows by definition: each holds more than that share.
-    head = sorted(sizes.filter(F.col("size") > limit).collect(), key=lambda r: (-r["size"], r["component"]))
-    placed: list[tuple[str, str]] = []
-    for r in head:
-        fits = [s for s in room if room[s] >= r["size"]]
-        if fits:
-            best = max(fits, key=lambda s: (-room[s] / math.log(_unit(r["component"], s)), s))
-        else:
-            best = max(room, key=lambda s: (room[s], s))
-        room[best] -= r["size"]
-        placed.append((r["component"], best))
-    left = {s: max(v, 0.0) for s, v in room.items()}
-    if not any(left.values()):
-        left = dict(weights)
     score = []
-    for s, w in sorted(left.items()):
-        bits = F.conv(F.substring(F.sha2(F.concat_ws("\x1f", "component", F.lit(s)), 256), 1, 14), 16, 10).cast("double")
-        score.append(F.struct((-F.lit(float(w)) / F.ln((bits + 0.5) / 2.0**56)).alias("v"), F.lit(s).alias("s")))
-    tail = sizes.filter(F.col("size") <= limit).select("component", F.sort_array(F.array(*score), asc=False)[0]["s"].alias("split"))
-    first = components.sparkSession.createDataFrame(placed, "component string, split string")
-    return components.join(tail.union(first), "component").select("document_id", "component", "split")
+    for s, w in sorted(weights.items()):
+        if w > 0:
+            bits = F.conv(F.substring(F.sha2(F.concat_ws("\x1f", "component", F.lit(s)), 256), 1, 14), 16, 10).cast("double")
+            score.append(F.struct((-F.lit(float(w)) / F.ln((bits + 0.5) / 2.0**56)).alias("v"), F.lit(s).alias("s")))
+    best = F.sort_array(F.array(*score), asc=False)[0]["s"]
+    for component, split in sorted((pins or {}).items()):
+        best = F.when(F.col("component") == component, F.lit(split)).otherwise(best)
+    return components.select("document_id", "component", best.alias("split"))
+
+
+def split_report(assigned: DataFrame) -> DataFrame:
+    """(split, documents, share, components, largest): what each split got, and the share of its largest component."""
+    per = assigned.groupBy("split", "component").agg(F.count("*").alias("n"))
+    got = per.groupBy("split").agg(F.sum("n").alias("documents"), F.count("*").alias("components"), F.max("n").alias("most"))
+    total = got.agg(F.sum("documents").alias("total"))
+    return got.crossJoin(F.broadcast(total)).select("split", "documents", (F.col("documents") / F.col("total")).alias("share"), "components", (F.col("most") / F.col("total")).alias("largest"))

@@ -20,13 +20,14 @@ def rows(df):
     [
         ("Ｊüｒｇｅｎ", "Jürgen"), ("Zoë", "Zoë"), ("Gilbeach La⁠wyers", "Gilbeach Lawyers"), ("R Quill\xadford", "R Quillford"),
         ("Lаwуers", "Lawyers"), ("ﬁlm", "film"), ("Κ.G.\xa0X", "K.G. X"), ("πόνoς", "πόνος"), ("", ""),
+        ("\U0002f800", "\u4e3d"), ("\U0001d15e", "\U0001d157\U0001d165"), ("\U00011131\U00011127", "\U0001112e"), ("\u1112\u1161\u11ab", "\ud55c"), ("\u09c7\u09be", "\u09cb"),
     ],
 )
 def test_texts_that_look_the_same_become_equal(a, b):
     assert glyphs.settle_text(a) == glyphs.settle_text(b)
 
 
-@pytest.mark.parametrize("a, b", [("Zoë", "Zoe"), ("Lee", "lee"), ("a-b", "a‐b"), ("O", "0"), ("l1", "ll"), ("a\nb", "a b"), ("x²", "x2"), ("боль", "6oль")])
+@pytest.mark.parametrize("a, b", [("Zoë", "Zoe"), ("Lee", "lee"), ("a-b", "a‐b"), ("O", "0"), ("l1", "ll"), ("a\nb", "a b"), ("x²", "x2"), ("①", "1"), ("боль", "6oль")])
 def test_texts_that_look_different_stay_different(a, b):
     assert glyphs.settle_text(a) != glyphs.settle_text(b)
 
@@ -85,9 +86,15 @@ def test_related_documents_and_splits(spark):
     assert set(rows(splits.groups_across_matters(manifest, comp))) == {("d1", "m1"), ("d2", "m1"), ("d3", "m1")}
     done = splits.assign_splits(comp).collect()
     assert len(done) == 5 and len({r["split"] for r in done if r["component"] == "d1"}) == 1
-    big = spark.range(3000).select(F.concat(F.lit("d"), "id").alias("document_id"), F.concat(F.lit("c"), F.when(F.col("id") < 1000, 0).otherwise(F.col("id"))).alias("component"))
-    share = {r["split"]: r["n"] / 3000 for r in splits.assign_splits(big).groupBy("split").agg(F.count("*").alias("n")).collect()}
+    lone = spark.range(3000).select(F.concat(F.lit("d"), "id").alias("document_id"), F.concat(F.lit("c"), "id").alias("component"))
+    first = {r["document_id"]: r["split"] for r in splits.assign_splits(lone).collect()}
+    share = {r["split"]: r["share"] for r in splits.split_report(splits.assign_splits(lone)).collect()}
     assert abs(share["train"] - 0.8) < 0.03 and abs(share["test"] - 0.1) < 0.03
+    giant = spark.range(1500).select(F.concat(F.lit("g"), "id").alias("document_id"), F.lit("giant").alias("component"))
+    later = {r["document_id"]: r["split"] for r in splits.assign_splits(lone.union(giant)).collect()}
+    assert all(later[d] == s for d, s in first.items()) and len({later[f"g{i}"] for i in range(1500)}) == 1
+    pinned = {r["document_id"]: r["split"] for r in splits.assign_splits(lone.union(giant), pins={"giant": "test"}).collect()}
+    assert pinned["g7"] == "test" and all(pinned[d] == s for d, s in first.items())
     assert rows(splits.assign_splits(comp.limit(0))) == []
 
 
