@@ -21,6 +21,7 @@ without a target get none.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -32,7 +33,7 @@ from maskwell.runtime import stage
 
 #: Rows per flight block; blocks are salted, so a source of any size spreads over tasks.
 BLOCK = 256
-DEFAULT_TOKENIZER = "byte_bpe_50k.json"
+DEFAULT_TOKENIZER = "byte_bpe_50k.tiktoken"
 
 
 def source_key(col: Column | str) -> Column:
@@ -49,25 +50,35 @@ def tokenizer_path(name: str = DEFAULT_TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def token_counter(path: str) -> Callable[[str], int]:
+    """A function that counts the tokens of one whole text; vocabularies of ranks (.tiktoken) or of the tokenizers library (.json)."""
+    if path.endswith(".json"):
+        from tokenizers import Tokenizer
+
+        t = Tokenizer.from_file(path)
+        t.encode_special_tokens = True
+        return lambda x: len(t.encode(x, add_special_tokens=False).ids)
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    e = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return lambda x: len(e.encode_ordinary(x))
+
+
 def token_counts(df: DataFrame, text: str = "text", path: str | None = None, out: str = "tokens") -> DataFrame:
     """``df`` with the number of tokens of the whole text; null for null."""
     where = path or tokenizer_path()
 
     @F.pandas_udf(T.LongType())
     def count(batches: pd.Series) -> pd.Series:
-        from tokenizers import Tokenizer
-
         global _TOKENIZER
         if globals().get("_TOKENIZER", (None,))[0] != where:
-            t = Tokenizer.from_file(where)
-            t.encode_special_tokens = True
-            _TOKENIZER = (where, t)
-        tok = _TOKENIZER[1]
-        got: list[int] = []
-        values = [x if x is not None else "" for x in batches]
-        for a in range(0, len(values), 128):
-            got += [len(e.ids) for e in tok.encode_batch_fast(values[a : a + 128], add_special_tokens=False)]
-        return pd.Series(got, dtype="int64")
+            _TOKENIZER = (where, token_counter(where))
+        return pd.Series([_TOKENIZER[1](x) if x else 0 for x in batches], dtype="int64")
 
     return df.withColumn(out, F.when(F.col(text).isNotNull(), count(F.col(text))))
 
@@ -161,8 +172,9 @@ def mix_plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
 def mix_sources(docs: DataFrame, targets: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, source, tokens, repeats) of the chosen documents, repeats >= 1."""
     rows = docs.select("doc_id", source_key("source").alias("source"), "text").dropna()
-    rows = rows.groupBy("doc_id").agg(F.min_by(F.struct("source", "text"), F.struct("source", F.md5("text"))).alias("r")).select("doc_id", "r.*")
-    rows = token_counts(rows, path=path).filter("tokens > 0").select("doc_id", "source", "tokens")
+    # Counted where the text is read, so that no text is shuffled; copies of a record are told by the hash of theirs.
+    rows = token_counts(rows, path=path).select("doc_id", "source", "tokens", F.md5("text").alias("h"))
+    rows = rows.groupBy("doc_id").agg(F.min_by(F.struct("source", "tokens"), F.struct("source", "h")).alias("r")).select("doc_id", "r.*").filter("tokens > 0")
     rows, _ = stage(rows, "tokens")
     plan, _ = stage(mix_plan(rows, targets), "plan")
     rows = rows.join(F.broadcast(plan.select("source", "intensity", "max_repeats")), "source")
