@@ -8,16 +8,20 @@ the segments is never touched, and ASCII text is returned as it is.
 
 The form folds full-width and joined letters, composed and decomposed accents,
 kinds of blank, invisible characters, and letters of another script with the
-same shape. Case, accents, punctuation, line breaks and ASCII stay distinct.
+same shape. Case, accents, punctuation, line breaks and ASCII stay distinct, and so do circled,
+raised, lowered and squared characters, which are seen to differ.
 Null stays null and the empty text stays empty.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,6 +58,28 @@ def _to_script(shapes: dict[str, str]) -> dict[int, str]:
     return back
 
 
+def _char_class(points: set[int]) -> str:
+    """The inside of a character class, runs written as ranges."""
+    out, run = [], []
+    for c in [*sorted(points), -1]:
+        if run and c != run[-1] + 1:
+            out.append(re.escape(chr(run[0])) + (f"-{re.escape(chr(run[-1]))}" if len(run) > 1 else ""))
+            run = []
+        run.append(c)
+    return "".join(out)
+
+
+def _marked_points() -> Iterator[int]:
+    """All code points from U+00A0 on, less blocks of 256 without a decomposition, a combining mark or a blank."""
+    for block in range(0, sys.maxunicode + 1, 256):
+        if 0xD800 <= block < 0xE000:
+            continue
+        # After the mark of the highest class any other mark is out of order.
+        probe = np.stack([np.full(256, 0x345, "<u4"), np.arange(block, block + 256, dtype="<u4")], axis=1).tobytes().decode("utf-32-le")
+        if not unicodedata.is_normalized("NFKD", probe) or len(probe.split()) > 1:
+            yield from range(max(block, 0xA0), block + 256)
+
+
 @lru_cache(maxsize=1)
 def _tables() -> tuple[dict[int, str], re.Pattern, dict[str, dict[int, str]]]:
     """(single-character folds, unstable character class, Latin to script)."""
@@ -61,26 +87,39 @@ def _tables() -> tuple[dict[int, str], re.Pattern, dict[str, dict[int, str]]]:
     unstable: list[int] = [ord(c) for c in TO_LATIN]
     for a, b in INVISIBLE:
         fold.update(dict.fromkeys(range(a, b + 1), ""))
-    for cp in [*range(0xA0, 0xD800), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800)]:
+    for cp in _marked_points():
         ch = chr(cp)
         if cp in fold:
             continue
+        parts = unicodedata.decomposition(ch)
+        if not parts:
+            if unicodedata.combining(ch):
+                unstable.append(cp)
+            elif unicodedata.category(ch) == "Zs":
+                fold[cp] = " "
+            continue
         if unicodedata.category(ch) == "Zs":
             fold[cp] = " "
-            continue
-        parts = unicodedata.decomposition(ch)
-        if parts.startswith(("<wide>", "<narrow>", "<font>")):
+        elif parts.startswith(("<wide>", "<narrow>", "<font>")):
             fold[cp] = unicodedata.normalize("NFKC", ch)
         elif parts.startswith("<compat>"):
             whole = unicodedata.normalize("NFKC", ch)
             if len(whole) > 1 and whole.isalpha():
                 fold[cp] = whole
-        elif unicodedata.combining(ch) or not unicodedata.is_normalized("NFC", ch):
-            unstable.append(cp)
-        elif parts and unicodedata.normalize("NFD", ch)[0] in TO_LATIN:
-            unstable.append(cp)
+        elif parts[0] != "<":
+            if unicodedata.combining(ch) or not unicodedata.is_normalized("NFC", ch):
+                unstable.append(cp)
+            elif unicodedata.normalize("NFD", ch)[0] in TO_LATIN:
+                unstable.append(cp)
+            # Quick-check MAYBE: what a composition ends in, also if it has no combining class.
+            last = int(parts.split()[-1], 16)
+            if last > 0x7F:
+                unstable.append(last)
+    unstable += [*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)]
+    # A narrow form may stand for what shows nothing.
+    fold = {cp: w.translate(fold) for cp, w in fold.items()}
     unstable += fold
-    cls = "".join(re.escape(chr(c)) for c in sorted(set(unstable)))
+    cls = _char_class(set(unstable))
     back = {"CYRILLIC": _to_script(CYRILLIC_SHAPES), "GREEK": _to_script(GREEK_SHAPES), "ARMENIAN": _to_script(ARMENIAN_SHAPES)}
     return fold, re.compile(f"[{cls}]+"), back
 
@@ -131,6 +170,9 @@ def settle_text(text: str | None) -> str | None:
         a, b = m.span()
         while a > done and (text[a - 1].isalpha() or unicodedata.combining(text[a - 1])):
             a -= 1
+        # The character a composition may start with need not be a letter.
+        if a > done and not text[a - 1].isascii():
+            a -= 1
         while b < n:
             e = _TAIL.match(text, b).end()
             more = unstable.match(text, e)
