@@ -5,10 +5,13 @@ lower case, without punctuation. Of every window of ``MIN_WORDS`` item words at
 most one word in ten may differ, so at least ``needed`` of its five-word
 shingles survive whole. Shingles are ordered by rarity over all documents; a
 document that holds a window must hold one of the window's rarest
-``shingles - needed + 1`` (its prefix). Documents are probed with the union of
-prefixes; then a length bound (enough surviving shingles inside one window) and
-a positional bound (the words of the document span they point at) leave few pairs, which are
-verified exactly with a bit-parallel edit distance over words.
+``shingles - needed + 1`` (its prefix). One pass over the texts writes the item
+shingles each document holds, where they stand, and its words as numbers; texts
+with fewer item shingles than a window needs leave no row. What was written gives
+the rarity of every shingle and is joined with the prefixes; then a length bound
+(enough surviving shingles inside one window) and a positional bound (the words
+of the document span they point at) leave few pairs, which are verified exactly
+with a bit-parallel edit distance over words.
 
 Items are the stated query set: they are sent to the tasks in blocks of at most
 ``BLOCK_WORDS`` words, each block against all rows. Documents are never joined
@@ -33,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from maskwell.llm.glyphs import settle_text
+from maskwell.runtime import stage
 
 SHINGLE = 5
 MIN_WORDS = 30
@@ -44,13 +48,15 @@ _APOSTROPHE = re.compile(r"(?<=\w)['’ʼ](?=\w)")
 
 def words_of(text: str) -> list[str]:
     """Comparable words of a text."""
-    text = settle_text(text)
-    text = _APOSTROPHE.sub("", text)
+    if not text.isascii():
+        text = settle_text(text)
+    if "'" in text or not text.isascii():
+        text = _APOSTROPHE.sub("", text)
     return _WORDS.findall(text.casefold())
 
 
-def shingles_of(words: list[str]) -> list[str]:
-    return [" ".join(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)]
+def shingles_of(words: list) -> list[tuple]:
+    return [tuple(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)]
 
 
 def allowed(n: int) -> int:
@@ -62,10 +68,10 @@ def needed(n: int) -> int:
     return max(1, n - SHINGLE + 1 - SHINGLE * allowed(n))
 
 
-def within(pattern: list[str], text: list[str], most: int) -> bool:
+def within(pattern: list, text: list, most: int) -> bool:
     """Whether a substring of ``text`` is within ``most`` word edits of ``pattern``."""
     m = len(pattern)
-    peq: dict[str, int] = {}
+    peq: dict = {}
     for i, w in enumerate(pattern):
         peq[w] = peq.get(w, 0) | (1 << i)
     mask, top = (1 << m) - 1, 1 << (m - 1)
@@ -90,46 +96,66 @@ def within(pattern: list[str], text: list[str], most: int) -> bool:
 
 
 class Items:
-    """Items with the prefix shingles that lead to them."""
-
-    def __init__(self, rows: list[tuple[int, str]], df: dict[str, int]):
-        self.words: dict[int, list[str]] = {}
-        self.where: dict[int, dict[str, list[int]]] = {}
-        self.prefix: dict[str, list[int]] = {}
-        lead: dict[str, set[int]] = {}
-        for item, text in rows:
-            words = words_of(text)
+    """The words and shingles of a block of items, as numbers."""
+
+    def __init__(self, rows: list[tuple]):
+        self.vocabulary: dict[str, int] = {}
+        self.shingles: dict[tuple, int] = {}
+        self.words: dict[int, list[int]] = {}
+        self.where: dict[int, dict[int, list[int]]] = {}
+        self.ids: list = []
+        number = self.vocabulary.setdefault
+        for ident, text in rows:
+            words = [number(w, len(self.vocabulary)) for w in words_of(text)]
             if len(words) < SHINGLE:
                 continue
+            item = len(self.ids)
+            self.ids.append(ident)
             self.words[item] = words
-            sh = shingles_of(words)
-            at: dict[str, list[int]] = {}
-            for i, s in enumerate(sh):
-                at.setdefault(s, []).append(i)
-            self.where[item] = at
+            at = self.where.setdefault(item, {})
+            for i, s in enumerate(shingles_of(words)):
+                at.setdefault(self.shingles.setdefault(s, len(self.shingles)), []).append(i)
+        #: The fewest item shingles of a text that holds any item of the block.
+        self.least = min((needed(min(MIN_WORDS, len(w))) for w in self.words.values()), default=1)
+        self.prefix: dict[int, list[int]] = {}
+
+    def read(self, text: str) -> tuple[list[int], list[int], list[int]]:
+        """(words as numbers, -1 for words of no item; item shingles; their places)."""
+        known = self.vocabulary.get
+        words = [known(w, -1) for w in words_of(text)]
+        found, at, run = [], [], 0
+        get = self.shingles.get
+        for i, w in enumerate(words):
+            run = run + 1 if w >= 0 else 0
+            if run >= SHINGLE:
+                s = get(tuple(words[i - SHINGLE + 1 : i + 1]))
+                if s is not None:
+                    found.append(s)
+                    at.append(i - SHINGLE + 1)
+        return words, found, at
+
+    def order(self, df: dict[int, int]) -> None:
+        """Choose the prefix of every window: its rarest shingles by ``df``, documents each stands in."""
+        lead: dict[int, set[int]] = {}
+        for item, words in self.words.items():
+            place = {i: s for s, at in self.where[item].items() for i in at}
             n = min(MIN_WORDS, len(words))
             per = n - SHINGLE + 1
             keep = per - needed(n) + 1
             for p in range(len(words) - n + 1):
-                rare = sorted(sh[p : p + per], key=lambda s: (df.get(s, 0), s))[:keep]
-                for s in rare:
+                for s in sorted((place[i] for i in range(p, p + per)), key=lambda s: (df.get(s, 0), s))[:keep]:
                     lead.setdefault(s, set()).add(item)
         self.prefix = {s: sorted(v) for s, v in lead.items()}
 
-    def held(self, words: list[str]) -> list[int]:
+    def held(self, words: list[int], found: list[int], places: list[int]) -> list:
         """Items whose passage, or a long stretch of it, stands in ``words``."""
-        sh = shingles_of(words)
-        found: set[int] = set()
-        for s in self.prefix.keys() & set(sh):
-            found.update(self.prefix[s])
-        if not found:
-            return []
-        at: dict[str, list[int]] = {}
-        for i, s in enumerate(sh):
-            at.setdefault(s, []).append(i)
-        return sorted(item for item in found if self._stands(item, words, at))
-
-    def _stands(self, item: int, words: list[str], at: dict[str, list[int]]) -> bool:
+        at: dict[int, list[int]] = {}
+        for s, d in zip(found, places):
+            at.setdefault(s, []).append(d)
+        leads = {item for s in at if s in self.prefix for item in self.prefix[s]}
+        return sorted(self.ids[item] for item in leads if self._stands(item, words, at))
+
+    def _stands(self, item: int, words: list[int], at: dict[int, list[int]]) -> bool:
         mine = self.words[item]
         size = min(MIN_WORDS, len(mine))
         where = self.where[item]
@@ -193,33 +219,35 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     corpus = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("t")).dropna()
     kind_d, kind_i = docs.schema[doc_id].dataType, items.schema[item_id].dataType
     out_schema = T.StructType([T.StructField("doc_id", kind_d), T.StructField("item_id", kind_i)])
+    held_schema = T.StructType([T.StructField("doc", kind_d), *[T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("words", "found", "places")]])
     result = spark.createDataFrame([], out_schema)
     for block in _blocks(items, item_id, item_text):
-        sets = spark.sparkContext.broadcast(frozenset(s for _, t in block for s in shingles_of(words_of(t))))
+        own = Items(block)
+        shared = spark.sparkContext.broadcast(own)
 
-        def rare(batches, sets=sets):
-            for b in batches:
-                seen: dict[str, int] = {}
-                for t in b["t"]:
-                    for s in sets.value.intersection(shingles_of(words_of(t))):
-                        seen[s] = seen.get(s, 0) + 1
-                if seen:
-                    yield pd.DataFrame({"s": list(seen), "n": list(seen.values())})
-
-        # At most one row per shingle of the block, counted over all documents.
-        counts = corpus.select("t").mapInPandas(rare, "s string, n long").groupBy("s").agg(F.sum("n").alias("n"))
-        df = {r["s"]: r["n"] for r in counts.toLocalIterator()}
-        index = spark.sparkContext.broadcast(Items(block, df))
-
-        def find(batches, index=index):
+        def read(batches, shared=shared):
+            own = shared.value
             for b in batches:
-                d, i = [], []
+                out = []
                 for doc, t in zip(b["doc"], b["t"]):
-                    for item in index.value.held(words_of(t)):
-                        d.append(doc)
-                        i.append(item)
-                if d:
-                    yield pd.DataFrame({"doc_id": d, "item_id": i})
+                    words, found, places = own.read(t)
+                    if len(found) >= own.least:
+                        out.append((doc, words, found, places))
+                if out:
+                    yield pd.DataFrame(out, columns=["doc", "words", "found", "places"])
+
+        held, _ = stage(corpus.mapInPandas(read, held_schema), "held")
+        counts = held.select(F.explode(F.array_distinct("found")).alias("s")).groupBy("s").agg(F.count("*").alias("n"))
+        # At most one row per shingle of the block, so BLOCK_WORDS rows.
+        own.order({r["s"]: r["n"] for r in counts.toLocalIterator()})
+        ordered = spark.sparkContext.broadcast(own)
+
+        def find(batches, ordered=ordered):
+            own = ordered.value
+            for b in batches:
+                out = [(doc, item) for doc, w, f, p in zip(b["doc"], b["words"], b["found"], b["places"]) for item in own.held(w.tolist(), f.tolist(), p.tolist())]
+                if out:
+                    yield pd.DataFrame(out, columns=["doc_id", "item_id"])
 
-        result = result.union(corpus.mapInPandas(find, out_schema))
+        result = result.union(held.mapInPandas(find, out_schema))
     return result.distinct()
