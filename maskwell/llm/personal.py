@@ -1,11 +1,12 @@
 """Personal information inside free text.
 
-Method: anchor expansion. An Aho-Corasick automaton finds cues (at-signs and
-their evasions, identifier labels) in one pass; deterministic parsers expand
-each label to its left and right and validate the boundaries. At-signs only
-switch on the pattern for e-mail addresses; phone numbers, streets and boxes
-are read by plain patterns over the whole text. Cues are matched in a folded alphabet in which the
-usual scanner confusions coincide, so a misread label still leads to its number.
+Method: anchor expansion. Aho-Corasick automata find cues in one pass each:
+at-signs and their evasions, identifier labels, street kinds and box words in a
+folded alphabet in which the usual scanner confusions coincide (so a misread
+label still leads to its number), and dial prefixes as written. Deterministic
+parsers start at the cues only: they expand a label to the number after it, an
+at-sign to both sides, a street kind back to its house number and on through
+suburb, state and postcode, and validate the boundaries.
 Names of people have no cue of their own: they are read from a token grammar
 (titles, initials, particles, either order) over a lexicon of given names and
 surnames counted from the annotated mentions, with unknown words admitted where
@@ -18,24 +19,25 @@ repeated rows give their cases once. Placeholders are never cases.
 
 from __future__ import annotations
 
+import bisect
 import re
 import unicodedata
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from maskwell.llm import glyphs, names
 from maskwell.llm.scans import shapes
+from maskwell.runtime import stage
 
 TYPES = ["EMAIL", "PHONE", "ADDRESS", "PERSON", "TFN", "MEDICARE", "DRIVER_LICENCE", "PASSPORT"]
-#: Most frequent lexicon entries sent to every task; names beyond them are found by grammar.
+#: Most frequent lexicon entries of each role sent to every task; the others are joined to the texts that hold them.
 LEXICON_BOUND = 200_000
-COMMON_BOUND = 20_000
-#: A word seen this often is no misread name.
-FREQUENT = 20
+#: A word that makes up this share of all words is no misread name.
+FREQUENT = 1e-4
 
 # Street kinds, states and words that head or end an organisation's name.
 STREET_KINDS = "street st road rd avenue ave court ct crescent cres lane ln parade pde place pl drive terrace tce close cl boulevard blvd highway hwy circuit cct grove way esplanade square".split()
@@ -121,36 +123,41 @@ def _cue_forms(cue: str) -> set[str]:
     return {f.translate(_CUE_FOLD) for f in forms}
 
 
+_DIGITS = "0123456789OolISBZ|"
 # Cues of the parsers.
 CUES = {
     "TFN": ["tfn", "t.f.n", "tax file"],
     "MEDICARE": ["medicare"],
     "DRIVER_LICENCE": ["licence", "license"],
     "PASSPORT": ["passport"],
-    "EMAIL": ["@", "(at)", "[at]", "{at}", "<at>", " at "],
-    "PHONE": ["04", "(0", "+6", "02", "03", "07", "08", "13", "18", "0491"],
+    "EMAIL": ["@", "(at)", "[at]", "{at}", "<at>", "( at", "[ at", "{ at", "< at", " at "],
+    "STREET": STREET_KINDS,
+    "BOX": ["box", "bax", "bag", "pmb"],
 }
+#: Dial prefixes are digits, which confusions change too much to be folded.
+DIAL = ["+", *[o + d for o in "0O" for d in _DIGITS], *["(" + o for o in "0O"], *[i + d for i in "1lI" for d in "38"]]
 
 
 @lru_cache(maxsize=1)
-def _automaton():
+def _automata():
     import ahocorasick
 
-    a = ahocorasick.Automaton()
+    folded, dial = ahocorasick.Automaton(), ahocorasick.Automaton()
     kinds: dict[str, set[str]] = {}
     for kind, cues in CUES.items():
-        if kind == "PHONE":
-            continue
         for cue in cues:
-            for form in _cue_forms(cue):
+            for form in {cue.translate(_CUE_FOLD)} if kind in ("STREET", "BOX") else _cue_forms(cue):
                 kinds.setdefault(form, set()).add(kind)
     for form, ks in kinds.items():
-        a.add_word(form, (len(form), sorted(ks)))
-    a.make_automaton()
-    return a
+        folded.add_word(form, (len(form), sorted(ks)))
+    for cue in DIAL:
+        dial.add_word(cue, len(cue))
+    folded.make_automaton()
+    dial.make_automaton()
+    return folded, dial
 
 
-_D = r"[0-9OolISBZ|]"
+_D = f"[{_DIGITS}]"
 # In the folded alphabet: card, number in any state of repair, is, was.
 _AFTER_LABEL = re.compile(r"(?:s\b)?(?:[\s,:.#'()\-]*(?:eard|n[a-z]{0,11}|r[il]umh[a-z]{0,8}|is|was)\b)*[\s,:.#'()\-]*")
 _ID_VALUE = {
@@ -188,11 +195,27 @@ _ADDRESS = re.compile(
 _SUBURB_ONLY = re.compile(r",\s?(?!(?i:mr|mrs|ms|miss|dr|prof|who|was|with)\b)([A-Z][\w'!\-]+)")
 _BOX = re.compile(rf"(?<!\w)(?i:g?\.?p\.?\s?[o0]\.?\s+b[o0a]x|locked\s+bag|pmb)\s{_N}+{_TAIL}")
 _PLACEHOLDER = re.compile(r"[\[<({]\s*[A-Z]+(?:_[A-Z]+)*(?:_?\d+)?\s*[\]>)}]")
+_HEADS = ("o'", "mac", "mc", "van", "de")
 _TOKEN = re.compile(r"[A-Za-z][A-Za-z0-9!|]*(?:['\-][A-Za-z][A-Za-z0-9!|]*)*")
 
 
+class Either:
+    """A set and a small addition to it, for look-up only."""
+
+    def __init__(self, a, b):
+        self.a, self.b = a, b
+
+    def __contains__(self, w: str) -> bool:
+        return w in self.a or w in self.b
+
+
 class Lexicon:
-    """Given names, surnames and ordinary words, for look-up in the tasks."""
+    """Given names, surnames and ordinary words, for look-up in the tasks.
+
+    ``rest`` (w, r) is the table of entries that are not in the sets, or None.
+    """
+
+    rest: DataFrame | None = None
 
     def __init__(self, given: set[str], surnames: set[str], common: set[str], middle: set[str] = frozenset(), frequent: set[str] = frozenset()):
         self.given, self.surnames, self.common, self.middle, self.frequent = given, surnames, common, middle, frequent
@@ -200,10 +223,38 @@ class Lexicon:
         self.surname_shape = {s for w in surnames if len(w) > 4 for s in shapes(w)}
         self.memo: dict[str, tuple] = {}
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("rest", "memo")} | {"memo": {}}
+
+    def wider(self, extra: list[tuple[str, str]]) -> Lexicon:
+        """This lexicon with entries (role, word) beyond its sets, for one text."""
+        own: dict[str, set[str]] = {r: {w for q, w in extra if q == r} for r in "gsmcq"}
+        out = Lexicon.__new__(Lexicon)
+        out.given, out.surnames, out.middle = Either(self.given, own["g"]), Either(self.surnames, own["s"]), Either(self.middle, own["m"])
+        out.common, out.frequent = Either(self.common, own["c"]), Either(self.frequent, own["q"])
+        out.given_shape = Either(self.given_shape, {x for w in own["g"] if len(w) > 4 for x in shapes(w)})
+        out.surname_shape = Either(self.surname_shape, {x for w in own["s"] if len(w) > 4 for x in shapes(w)})
+        out.memo = {}
+        return out
+
+    def unknown_keys(self, text: str) -> set[str]:
+        """Keys under which entries beyond the sets may concern ``text``: words, their parts, shapes of misread ones."""
+        keys: set[str] = set()
+        for m in _TOKEN.finditer(plain_form(text)[0]):
+            w = re.sub(r"'s$", "", m.group().lower())
+            if len(w) < 2:
+                continue
+            parts = {w, *w.split("-")}
+            for x in list(parts):
+                parts |= {x[len(h) :] for h in _HEADS if x.startswith(h)}
+            keys |= {"w" + x for x in parts if len(x) > 1 and not (x in self.given and x in self.surnames)}
+            keys |= {"s" + k for x in parts if len(x) > 2 for k in shapes(x)}
+        return keys
+
     def known_surname(self, w: str) -> bool:
         if w in self.surnames:
             return True
-        for head in ("o'", "mac", "mc", "van", "de"):
+        for head in _HEADS:
             if w.startswith(head) and w[len(head) :] in self.surnames:
                 return True
         return "-" in w and all(p in self.surnames or self.known_surname(p) for p in w.split("-"))
@@ -235,57 +286,105 @@ def _digits(s: str) -> int:
     return sum(c.isdigit() for c in s)
 
 
-def contact_spans(t: str, kind_hint: str | None = None) -> list[tuple[int, int, str]]:
-    """Spans with cues: placeholders (type ""), numbers, mail and street addresses."""
-    out: list[tuple[int, int, str]] = [(m.start(), m.end(), "") for m in _PLACEHOLDER.finditer(t)]
-    taken = list(out)
+class Taken:
+    """Spans that do not overlap, by start; what meets one already taken is refused."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.spans: list[tuple[int, int, str]] = []
+
+    def add(self, a: int, b: int, kind: str) -> None:
+        k = bisect.bisect_left(self.starts, b)
+        if not k or self.spans[k - 1][1] <= a:
+            at = bisect.bisect_left(self.starts, a)
+            self.starts.insert(at, a)
+            self.spans.insert(at, (a, b, kind))
+
+
+_BLANKS = " \n\t\r\f\v"
 
-    def free(a: int, b: int) -> bool:
-        return all(b <= x or a >= y for x, y, _ in taken)
 
-    def add(a: int, b: int, kind: str) -> None:
-        if free(a, b):
-            taken.append((a, b, kind))
+def _tokens_back(t: str, at: int, n: int) -> int:
+    """Start of the n-th run between blanks before ``at``."""
+    while n and at > 0:
+        while at > 0 and t[at - 1] in _BLANKS:
+            at -= 1
+        while at > 0 and t[at - 1] not in _BLANKS:
+            at -= 1
+        n -= 1
+    return at
 
+
+def _at_cues(rx: re.Pattern, t: str, cues: list[int], back: int):
+    """Matches of ``rx`` that begin up to ``back`` runs before a cue."""
+    done = 0
+    for cue in cues:
+        lo = max(done, _tokens_back(t, cue, back))
+        while lo <= cue:
+            m = rx.search(t, lo)
+            if not m:
+                return
+            if m.start() > cue:
+                # No match begins before it, so earlier cues have none either.
+                done = m.start()
+                break
+            yield m
+            done = lo = max(m.end(), m.start() + 1)
+
+
+def contact_spans(t: str, kind_hint: str | None = None) -> list[tuple[int, int, str]]:
+    """Spans with cues: placeholders (type ""), numbers, mail and street addresses."""
+    taken = Taken()
+    for m in _PLACEHOLDER.finditer(t):
+        taken.add(m.start(), m.end(), "")
     low = t.lower().translate(_CUE_FOLD)
-    cues: set[str] = set()
+    folded, dial = _automata()
+    cues: dict[str, list[int]] = {}
     labels: list[tuple[int, int, str]] = []
-    for end, (n, kinds) in _automaton().iter(low):
+    size = len(t)
+    for end, (n, kinds) in folded.iter(low):
+        a = end - n + 1
         for k in kinds:
-            cues.add(k)
             if k in _ID_VALUE:
-                labels.append((end - n + 1, end + 1, k))
+                labels.append((a, end + 1, k))
+            elif k != "STREET" or (a and not low[a - 1].isalnum() and (end + 1 == size or not low[end + 1].isalnum())):
+                cues.setdefault(k, []).append(a)
     for a, b, kind in labels:
-        if (a and t[a - 1].isalnum()) or not free(a, b):
+        if a and t[a - 1].isalnum():
             continue
         m = _AFTER_LABEL.match(low, b)
         v = _ID_VALUE[kind].match(t, m.end()) or _ID_VALUE[kind].match(t, b)
         if v and _digits(v.group()) >= 0.6 * len(re.sub(r"[\s.\-/]", "", v.group())):
-            add(v.start(), v.end(), kind)
-    if "EMAIL" in cues:
-        for m in _EMAIL.finditer(t):
-            add(m.start(), m.end(), "EMAIL")
-        if " dot " in low or " dat " in low:
-            for m in _EMAIL_WORDS.finditer(t):
-                add(m.start(), m.end(), "EMAIL")
-    for m in _PHONE.finditer(t):
-        if _digits(m.group()) >= 7:
-            add(m.start(), m.end(), "PHONE")
+            taken.add(v.start(), v.end(), kind)
+    for rx in (_EMAIL, _EMAIL_WORDS):
+        for m in _at_cues(rx, t, cues.get("EMAIL", []), 12):
+            taken.add(m.start(), m.end(), "EMAIL")
+    done = 0
+    for end, n in dial.iter(t):
+        a = end - n + 1
+        # A plus sign may stand in a bracket, and so may the prefix.
+        a -= a > 0 and t[a - 1] == "("
+        if a < done or (a and (t[a - 1].isalnum() or t[a - 1] in "_+/")):
+            continue
+        m = _PHONE.match(t, a) or (t[a] == "(" and _PHONE.match(t, a + 1))
+        if m and _digits(m.group()) >= 7:
+            taken.add(m.start(), m.end(), "PHONE")
+            done = m.end()
     if kind_hint in _ID_VALUE:
         for m in re.finditer(r"(?<![\w+])[A-Z]{0,2}[0-9][0-9OolISBZ \-]{4,}[0-9A-Z](?!\w)", t):
             v = _ID_VALUE[kind_hint].fullmatch(m.group())
-            if v and free(m.start(), m.end()):
-                add(m.start(), m.end(), kind_hint)
-    for rx in (_ADDRESS, _BOX):
-        for m in rx.finditer(t):
+            if v:
+                taken.add(m.start(), m.end(), kind_hint)
+    for rx, cue, back in ((_ADDRESS, "STREET", 10), (_BOX, "BOX", 4)):
+        for m in _at_cues(rx, t, cues.get(cue, []), back):
             b = m.end()
             if not (m.group("sub") or m.group("st") or m.group("pc")):
                 more = _SUBURB_ONLY.match(t, b)
                 if more and not t[more.end() : more.end() + 2].lower().startswith("'s"):
                     b = more.end()
             s = t[m.start() : b]
-            add(m.start(), m.start() + len(s.rstrip(" ,\n")) if not s.endswith(".") or m.group("sub") else m.start() + len(s.rstrip(" ,\n.")), "ADDRESS")
-    return taken
+            taken.add(m.start(), m.start() + len(s.rstrip(" ,\n")) if not s.endswith(".") or m.group("sub") else m.start() + len(s.rstrip(" ,\n.")), "ADDRESS")
+    return taken.spans
 
 
 _GAP = re.compile(r"(?:\.?[ ]?\n?[ ]?|\.)$")
@@ -293,7 +392,7 @@ _GAP = re.compile(r"(?:\.?[ ]?\n?[ ]?|\.)$")
 
 def person_spans(t: str, taken: list[tuple[int, int, str]], lex: Lexicon) -> list[tuple[int, int, str]]:
     """Names of people outside the spans already taken."""
-    blocked = sorted((a, b) for a, b, _ in taken)
+    blocked = [(a, b) for a, b, _ in taken]
     toks = []
     bi = 0
     for m in _TOKEN.finditer(t):
@@ -551,37 +650,79 @@ def _lower_words(batches):
         yield pd.DataFrame({"w": list(found), "n": [c[0] for c in found.values()], "every": [c[1] for c in found.values()]})
 
 
-def name_lexicon(mentions: DataFrame, pages: DataFrame) -> Lexicon:
-    """Given names and surnames counted over all ``mentions`` (text), ordinary words over all ``pages``."""
+def name_lexicon(mentions: DataFrame, pages: DataFrame, bound: int = LEXICON_BOUND) -> Lexicon:
+    """Given names and surnames counted over all ``mentions`` (text), ordinary words over all ``pages``.
+
+    The ``bound`` most frequent entries of each role go to the tasks; where a
+    role has more, the others stay a table (``rest``) that is joined to the texts.
+    """
     texts = mentions.select(F.col("text").alias("t")).dropna().groupBy("t").agg(F.count("*").alias("n"))
     words = texts.mapInPandas(_name_words, "role string, w string, n long").groupBy("w").pivot("role", ["g", "s", "f", "e", "m"]).agg(F.sum("n")).fillna(0)
     # One role each: the one a word is written in far more often.
     g_all, s_all = F.col("g") + 0.1 * F.col("f"), F.col("s") + 0.1 * F.col("e")
-    given = words.filter(((F.col("g") >= 1) & (g_all > 2 * s_all)) | ((F.col("f") >= 5) & (F.col("f") > 3 * F.col("e")) & (F.col("s") == 0))).orderBy(F.desc(g_all), "w").limit(LEXICON_BOUND).select("w", F.lit("g").alias("r"))
-    sur = words.filter(((F.col("s") >= 1) & (s_all > 2 * g_all)) | ((F.col("e") >= 1) & (F.col("e") > F.col("f")) & (F.col("g") == 0))).orderBy(F.desc(s_all), "w").limit(LEXICON_BOUND).select("w", F.lit("s"))
-    mid = words.filter((F.col("m") >= 3) & (F.col("m") > 0.2 * F.col("s"))).orderBy(F.desc("m"), "w").limit(LEXICON_BOUND).select("w", F.lit("m"))
+    role = lambda r, weight: (F.lit(r).alias("r"), weight.cast("double").alias("weight"))
+    given = words.filter(((F.col("g") >= 1) & (g_all > 2 * s_all)) | ((F.col("f") >= 5) & (F.col("f") > 3 * F.col("e")) & (F.col("s") == 0))).select("w", *role("g", g_all))
+    sur = words.filter(((F.col("s") >= 1) & (s_all > 2 * g_all)) | ((F.col("e") >= 1) & (F.col("e") > F.col("f")) & (F.col("g") == 0))).select("w", *role("s", s_all))
+    mid = words.filter((F.col("m") >= 3) & (F.col("m") > 0.2 * F.col("s"))).select("w", *role("m", F.col("m")))
     low = pages.select("text").dropna().mapInPandas(_lower_words, "w string, n long, every long").groupBy("w").agg(F.sum("n").alias("n"), F.sum("every").alias("every"))
-    low = low.join(words.filter((g_all >= 3) | (s_all >= 3)).select("w"), "w", "left_anti")
+    total = low.agg(F.sum("every").alias("total"))
+    low = low.crossJoin(F.broadcast(total)).join(words.filter((g_all >= 3) | (s_all >= 3)).select("w"), "w", "left_anti")
     # Ordinary words are mostly written small; a name now and then.
-    common = low.filter("n >= 0.3 * every AND n > 0").orderBy(F.desc("n"), "w").limit(COMMON_BOUND).select("w", F.lit("c"))
-    frequent = low.filter(F.col("every") >= FREQUENT).orderBy(F.desc("every"), "w").limit(COMMON_BOUND).select("w", F.lit("q"))
-    # At most two lexicons and the common words, all bounded above.
+    common = low.filter("n >= 0.3 * every AND n > 0").select("w", *role("c", F.col("n")))
+    frequent = low.filter(F.col("every") >= FREQUENT * F.col("total")).select("w", *role("q", F.col("every")))
+    every, _ = stage(given.union(sur).union(mid).union(common).union(frequent), "lexicon")
     sets: dict[str, set[str]] = {"g": set(), "s": set(), "m": set(), "c": set(), "q": set()}
-    for r in given.union(sur).union(mid).union(common).union(frequent).collect():
-        sets[r["r"]].add(r["w"])
+    beyond = False
+    for r, n in [(x["r"], x["n"]) for x in every.groupBy("r").agg(F.count("*").alias("n")).collect()]:
+        beyond |= n > bound
+        # At most ``bound`` rows of each of five roles.
+        top = every.filter(F.col("r") == r)
+        sets[r].update(x["w"] for x in (top.orderBy(F.desc("weight"), "w").limit(bound) if n > bound else top).select("w").toLocalIterator())
     nick = {n for v in names.NICKNAMES.values() for n in v.split()} | set(names.NICKNAMES)
-    return Lexicon(sets["g"] | nick, sets["s"] - nick, sets["c"] - nick, sets["m"], sets["q"])
+    lex = Lexicon(sets["g"] | nick, sets["s"] - nick, sets["c"] - nick, sets["m"], sets["q"])
+    if beyond:
+        w = Window.partitionBy("r", F.pmod(F.xxhash64("w"), F.lit(64))).orderBy(F.desc("weight"), "w")
+        # Only the first ``bound`` of each salt can be among the first ``bound`` of a role.
+        head = every.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= bound)
+        taken = head.withColumn("k", F.row_number().over(Window.partitionBy("r").orderBy(F.desc("weight"), "w"))).filter(F.col("k") <= bound)
+        lex.rest = every.join(taken.select("w", "r"), ["w", "r"], "left_anti").filter(~((F.col("r") != "g") & F.col("w").isin(sorted(nick)))).select("w", "r")
+    return lex
+
+
+def _with_rest(rows: DataFrame, lex: Lexicon) -> DataFrame:
+    """``rows`` (..., t) with ``extra``: what the rest of the lexicon says of the words of each text, null if nothing."""
+    none = F.lit(None).cast("array<struct<r:string,w:string>>")
+    if lex.rest is None:
+        return rows.withColumn("extra", none)
+    shared = rows.sparkSession.sparkContext.broadcast(lex)
+
+    @F.pandas_udf("array<string>")
+    def keys(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: sorted(shared.value.unknown_keys(t)))
+
+    @F.pandas_udf("array<string>")
+    def forms(s: pd.Series) -> pd.Series:
+        return s.map(lambda w: ["w" + w] + (["s" + k for k in shapes(w)] if len(w) > 4 else []))
+
+    table = lex.rest.select("r", "w", F.explode(forms("w")).alias("k")).filter("k LIKE 'w%' OR r IN ('g', 's')")
+    held = rows.select(F.md5("t").alias("h"), "t").dropDuplicates(["h"]).select("h", F.explode(keys("t")).alias("k"))
+    extra = held.join(table, "k").groupBy("h").agg(F.collect_set(F.struct("r", "w")).alias("extra"))
+    return rows.withColumn("h", F.md5("t")).join(extra, "h", "left").drop("h")
+
+
+def _reader(lex: Lexicon, extra) -> Lexicon:
+    return lex if extra is None or not len(extra) else lex.wider([(x["r"], x["w"]) for x in extra])
 
 
 def personal_spans(df: DataFrame, ident: str, text: str, lex: Lexicon, hint: Column | None = None) -> DataFrame:
     """(record_id, start_off, end_off, entity_type), distinct, of every row of ``df``."""
     shared = df.sparkSession.sparkContext.broadcast(lex)
     rows = df.select(F.col(ident).cast("long").alias("record_id"), F.col(text).alias("t"), (hint if hint is not None else F.lit(None).cast("string")).alias("hint"))
-    rows = rows.filter("record_id IS NOT NULL AND t IS NOT NULL AND t <> ''")
+    rows = _with_rest(rows.filter("record_id IS NOT NULL AND t IS NOT NULL AND t <> ''"), lex)
 
     def find(batches):
         for b in batches:
-            out = [(r, *s) for r, t, h in zip(b["record_id"], b["t"], b["hint"]) for s in find_personal(t, shared.value, h)]
+            out = [(r, *s) for r, t, h, x in zip(b["record_id"], b["t"], b["hint"], b["extra"]) for s in find_personal(t, _reader(shared.value, x), h)]
             if out:
                 yield pd.DataFrame(out, columns=["record_id", "start_off", "end_off", "entity_type"])
 
@@ -589,11 +730,16 @@ def personal_spans(df: DataFrame, ident: str, text: str, lex: Lexicon, hint: Col
 
 
 def masked_text(df: DataFrame, text: str, lex: Lexicon, out: str = "masked_text") -> DataFrame:
-    """``df`` with ``out``: the text with typed placeholders, all else unchanged."""
+    """``df`` with ``out``: the text with typed placeholders, all else unchanged; null stays null."""
     shared = df.sparkSession.sparkContext.broadcast(lex)
 
     @F.pandas_udf(T.StringType())
-    def mask(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: masked(t, find_personal(t, shared.value)), na_action="ignore")
-
-    return df.withColumn(out, mask(F.col(text)))
+    def mask(s: pd.Series, extra: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else masked(t, find_personal(t, _reader(shared.value, x))) for t, x in zip(s, extra)], dtype=object)
+
+    if lex.rest is None:
+        return df.withColumn(out, mask(F.col(text), F.lit(None).cast("array<struct<r:string,w:string>>")))
+    # Distinct texts are masked once and joined back.
+    once = _with_rest(df.select(F.col(text).alias("t")).dropna().distinct(), lex)
+    once = once.select(F.md5("t").alias("_h"), mask("t", "extra").alias(out)).dropDuplicates(["_h"])
+    return df.withColumn("_h", F.md5(F.col(text))).join(once, "_h", "left").drop("_h")

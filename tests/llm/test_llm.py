@@ -165,6 +165,24 @@ def test_masking_keeps_the_rest():
     assert personal.masked(text, personal.find_personal(text, LEX)) == "Dear [PERSON], call [PHONE]."
 
 
+def test_names_beyond_the_bound_are_found_by_join(spark):
+    people = ["Garwell, Harriet", "Wexridge, Timothy", "Brackbury, Deborah", "Thornfield-Oakes, Zoe"]
+    mentions = spark.createDataFrame([(p,) for p in people for _ in range(3)], "text string")
+    texts = ["Harriet Garwell met Deborah Brackbury.", "the MacWexridge file and Zoe Thornfield-Oakes", "Mr Brackbury, then tirnothy wexridge; Tirnothy Wexridge", None, "", "no name at all"]
+    pages = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "page_id long, text string").withColumn("h", F.lit("x")).withColumn("extra", F.lit(1))
+    whole, cut = personal.name_lexicon(mentions, pages), personal.name_lexicon(mentions, pages, bound=1)
+    assert whole.rest is None and cut.rest is not None and len(cut.surnames) <= 1
+    found = [sorted(rows(personal.personal_spans(pages, "page_id", "text", x))) for x in (whole, cut)]
+    assert found[0] == found[1] and len({r[0] for r in found[0]}) == 3
+    masks = [sorted((r["page_id"], r["masked_text"]) for r in personal.masked_text(pages, "text", x).select("page_id", "masked_text").collect() if r["page_id"] != 3) for x in (whole, cut)]
+    assert masks[0] == masks[1] and dict(masks[0])[0] == "[PERSON] met [PERSON]."
+
+
+def test_long_texts_are_read_in_linear_time():
+    text = "Dr Harriet Garwell of 12 Long Street Lindvale 3447 (0491 570 156), a.b@c.example. " * 3000
+    assert len(personal.find_personal(text, LEX)) == 12000
+
+
 def test_personal_spans_of_tables(spark):
     pages = spark.createDataFrame([(1, "Dear Harriet Garwell,"), (1, "Dear Harriet Garwell,"), (2, None), (3, ""), (None, "Harriet Garwell")], "page_id long, text string").withColumn("hint", F.lit(1)).withColumn("t", F.lit("x"))
     assert rows(personal.personal_spans(pages, "page_id", "text", LEX)) == [(1, 5, 20, "PERSON")]
