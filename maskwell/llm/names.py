@@ -9,8 +9,10 @@ nicknames, initials, abbreviations, acronyms, dropped words, reordered parts.
 A spelling no candidate explains stays its own entity. Attachments are followed
 to their roots with hash-to-min components.
 
-Candidates meet through symmetric-delete keys that carry the matter, so no
-matter is ever gathered in one task and no two spellings meet that share no key.
+The words of a matter that are near each other are found once, through
+symmetric-delete keys that carry the matter; spellings then meet on a whole word
+near their own and an initial, so that a spelling costs a few rows and no matter
+is ever gathered in one task. No two spellings meet that share no such word.
 Which word is a surname, and which nickname stands for which given name, is
 counted over all rows ("Katherine (Kathy) ..." and "Surname, Given" forms).
 
@@ -27,7 +29,7 @@ import unicodedata
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -220,35 +222,38 @@ def org_words(text: str) -> tuple[list[str], bool]:
     return ws, acronym
 
 
-def _deletes(w: str) -> set[str]:
-    return {w, *(w[:i] + w[i + 1 :] for i in range(len(w)))} if len(w) > 3 else {w}
+def keys_of(etype: str, level: int, given: str, surname: str, formals: list[str] | None) -> tuple[list[tuple], list[tuple]]:
+    """(index, probe): keys (kind, role, word, tail) a spelling is found under and looks for.
 
-
-def keys_of(etype: str, level: int, given: str, surname: str, formals: list[str] | None) -> tuple[list[str], list[str]]:
-    """(keys a spelling is indexed under, keys it looks for)."""
+    Words meet words near them of the same role, the rest of a key must be equal.
+    Role A (acronyms) takes equal words only.
+    """
     if etype != "PERSON":
         ws = surname.split(" ")
         if level == 1:
-            return [], ["A" + surname]
-        second = ws[1][0] if len(ws) > 1 else ""
-        own = {f"O{x}|{second}" for x in _deletes(ws[0])}
-        own |= {f"T{x}|{ws[0][0]}" for x in _deletes(ws[1])} if len(ws) > 1 and len(ws[1]) > 3 and len(ws) > 2 else set()
+            return [], [("A", "A", surname, "")]
+        own = [("O", "O", ws[0], ws[1][0] if len(ws) > 1 else "")]
+        if len(ws) > 2 and len(ws[1]) > 3:
+            own.append(("T", "T", ws[1], ws[0][0]))
         full = "".join(w[0] for w in ws)
         short = "".join(w[0] for w in ws if w not in ("and", "of", "the", "for"))
-        return sorted(own | {"A" + full, "A" + short}), sorted(own)
+        return own + [("A", "A", x, "") for x in sorted({full, short})], own
     if level == 0:
-        return ["Q" + x for x in sorted(_deletes(given))], ["Q" + x for x in sorted(_deletes(given))]
-    sur = _deletes(surname)
+        return [("Q", "N", given, "")], [("Q", "N", given, "")]
     if level == 1:
-        return ["P" + x for x in sorted(sur)], ["P" + x for x in sorted(sur)]
-    firsts = {given[0], *(f[0] for f in formals or [])}
-    heads = {f"S{x}|{i}" for x in sur for i in firsts}
+        return [("P", "S", surname, "")], [("P", "S", surname, "")]
+    heads = [("S", "S", surname, i) for i in sorted({given[0], *(f[0] for f in formals or [])})]
     if level == 2:
-        return sorted(heads | {"P" + x for x in sur}), sorted(heads)
-    names = {given, *(formals or [])}
-    tails = {f"G{x}|{surname[:1]}" for g in names for x in _deletes(g)} if len(given) > 3 else set()
-    index = heads | tails | {"P" + x for x in sur} | {"Q" + x for g in names for x in _deletes(g)}
-    return sorted(index), sorted(heads | tails)
+        return [*heads, ("P", "S", surname, "")], heads
+    names = sorted({given, *(formals or [])})
+    tails = [("G", "N", g, surname[:1]) for g in names] if len(given) > 3 else []
+    return [*heads, *tails, ("P", "S", surname, ""), *(("Q", "N", g, "") for g in names)], [*heads, *tails]
+
+
+def _cuts(role: Column, word: Column) -> Column:
+    """The word and, if it is long enough to have slips, the word less one letter."""
+    less = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
+    return F.when((role != "A") & (F.length(word) > 3), F.array_distinct(F.array_append(less, word))).otherwise(F.array(word))
 
 
 def given_ll(v: str, c: str, vf: list[str], cf: list[str]) -> float:
@@ -336,12 +341,14 @@ def _parses(etype: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-_KEYS = T.StructType([T.StructField("index", T.ArrayType(T.StringType())), T.StructField("probe", T.ArrayType(T.StringType()))])
+_KEY = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("kind", "role", "word", "tail")]))
+_KEYS = T.StructType([T.StructField("index", _KEY), T.StructField("probe", _KEY)])
 
 
 @F.pandas_udf(_KEYS)
 def _keys(etype: pd.Series, level: pd.Series, given: pd.Series, sur: pd.Series, formals: pd.Series) -> pd.DataFrame:
-    rows = [keys_of(e, lv, g, s, list(f) if f is not None else []) for e, lv, g, s, f in zip(etype, level, given, sur, formals)]
+    named = lambda ks: [dict(zip(("kind", "role", "word", "tail"), k)) for k in ks]
+    rows = [tuple(map(named, keys_of(e, lv, g, s, list(f) if f is not None else []))) for e, lv, g, s, f in zip(etype, level, given, sur, formals)]
     return pd.DataFrame(rows, columns=["index", "probe"])
 
 
@@ -442,9 +449,14 @@ def spelling_entities(mentions: DataFrame) -> DataFrame:
     one, _ = stage(one, "reading")
     body = F.struct("level", "given", "mid", "sur", "formals", "df_s", "df_g")
     whose = F.concat_ws("\x1f", "matter", "etype")
-    probe = one.select(F.col("sid").alias("v"), F.explode("k.probe").alias("key"), whose.alias("w"), F.col("rank").alias("vr"))
-    index = one.select(F.col("sid").alias("c"), F.explode("k.index").alias("key"), whose.alias("w"), F.col("rank").alias("cr"))
-    pairs = probe.withColumn("h", F.xxhash64("w", "key")).drop("key", "w").join(index.withColumn("h", F.xxhash64("w", "key")).drop("key", "w"), "h")
+    # Of the words of a matter, which are near which: one row a word, not a spelling.
+    key = lambda side, who: one.select(F.col("sid").alias(who), F.col("rank").alias(f"{who}r"), F.xxhash64(whose).alias("w"), F.explode(f"k.{side}").alias("k")).select(who, f"{who}r", "w", "k.*")
+    probe, index = key("probe", "v"), key("index", "c")
+    cuts = F.explode(_cuts(F.col("role"), F.col("word"))).alias("cut")
+    near = lambda df, name: df.select("w", "role", "word").distinct().withColumn("cut", cuts).withColumn("h", F.xxhash64("w", "role", "cut")).drop("cut").withColumnRenamed("word", name)
+    words = near(probe, "word").join(near(index, "other").drop("w", "role"), "h").select("w", "role", "word", "other").distinct()
+    probe = probe.join(words, ["w", "role", "word"]).select("v", "vr", F.xxhash64("w", "kind", "other", "tail").alias("h"))
+    pairs = probe.join(index.select("c", "cr", F.xxhash64("w", "kind", "word", "tail").alias("h")), "h")
     pairs = pairs.filter("cr > vr").select("v", "c").distinct()
     va = one.select(F.col("sid").alias("v"), "etype", F.col("matter").alias("vm"), body.alias("vb"))
     ca = one.select(F.col("sid").alias("c"), F.col("matter").alias("cm"), body.alias("cb"), F.col("rank.prior").alias("prior"))
