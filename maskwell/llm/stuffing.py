@@ -34,6 +34,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from maskwell.runtime import stage
 
@@ -161,7 +162,7 @@ def segments_of(text: str) -> list[tuple[int, bool, str]]:
     return out
 
 
-_SHAPE = "h string, chars int, form int, salad int, pairs int, key array<long>, lo array<long>, hi array<long>, ahead array<int>, back array<int>, words array<long>, times array<int>"
+_SHAPE = "h string, t string, pairs int, key array<long>, lo array<long>, hi array<long>, ahead array<int>, back array<int>, words array<long>, times array<int>"
 
 
 def _word_hashes(text: str, memo: dict[str, int]) -> np.ndarray:
@@ -189,25 +190,32 @@ def neighbour_counts(ids: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _read(batches):
-    """What the judgement needs of each text, in one pass over it."""
+    """Words and neighbours of each text, counted."""
     memo: dict[str, int] = {}
     for b in batches:
         if len(memo) > 500_000:
             memo.clear()
         out = []
         for h, t in zip(b["h"], b["t"]):
-            chars = form = salad = 0
-            for c, bad, words in segments_of(t):
-                chars += c
-                form += c * bad
-                w = words.split()
-                if not bad and len(w) > SALAD_WORDS and sum(x in FUNCTION_WORDS for x in w) < GRAMMAR * len(w):
-                    salad += c
             ids = _word_hashes(t, memo)
             key, lo, hi, ahead, back = neighbour_counts(ids)
             words, times = np.unique(ids, return_counts=True)
-            out.append((h, chars, form, salad, int(ahead.sum() + back.sum()), key, lo, hi, ahead, back, words, times))
-        yield pd.DataFrame(out, columns=["h", "chars", "form", "salad", "pairs", "key", "lo", "hi", "ahead", "back", "words", "times"])
+            out.append((h, t, int(ahead.sum() + back.sum()), key, lo, hi, ahead, back, words, times))
+        yield pd.DataFrame(out, columns=["h", "t", "pairs", "key", "lo", "hi", "ahead", "back", "words", "times"])
+
+
+@F.pandas_udf(T.DoubleType())
+def _stuffed_share(text: pd.Series, coherence: pd.Series) -> pd.Series:
+    """Share of the characters that is stuffing by form; without grammar counts where the whole text is salad."""
+    out = []
+    for t, c in zip(text, coherence):
+        chars = bad = 0
+        for n, form, words in segments_of(t):
+            w = words.split()
+            chars += n
+            bad += n * (form or (c < SALAD and len(w) > SALAD_WORDS and sum(x in FUNCTION_WORDS for x in w) < GRAMMAR * len(w)))
+        out.append(bad / max(1, chars))
+    return pd.Series(out, dtype="float64")
 
 
 def neighbour_information(read: DataFrame) -> DataFrame:
@@ -236,17 +244,21 @@ def text_coherence(read: DataFrame) -> DataFrame:
 
 
 def stuffing_share(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(h, coherence, share): of each distinct text, by md5, its coherence and the share of characters of stuffed form."""
+    """(h, coherence, share): of each distinct text, by md5, its coherence and the share of characters of stuffed form.
+
+    The form of coherent texts is not looked at; their share is 0.
+    """
     texts = docs.select(F.col(text).alias("t")).filter("t IS NOT NULL AND trim(t) <> ''").select(F.md5("t").alias("h"), "t")
     texts = texts.groupBy("h").agg(F.first("t").alias("t"))
     read, _ = stage(texts.mapInPandas(_read, _SHAPE), "neighbours")
-    judged = read.select("h", "chars", "form", "salad").join(text_coherence(read), "h")
-    stuffed = F.col("form") + F.when(F.col("coherence") < SALAD, F.col("salad")).otherwise(0)
-    return judged.select("h", "coherence", (stuffed / F.greatest("chars", F.lit(1))).alias("share"))
+    coherence, _ = stage(text_coherence(read), "coherence")
+    low = coherence.filter(F.col("coherence") < COHERENCE)
+    form = read.select("h", "t").join(low, "h").select("h", "coherence", _stuffed_share("t", "coherence").alias("share"))
+    return form.union(coherence.filter(~(F.col("coherence") < COHERENCE)).select("h", "coherence", F.lit(0.0)))
 
 
 def stuffed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, coherence, share) of the documents that are incoherent and more stuffing than text."""
-    bad = stuffing_share(docs, text).filter((F.col("coherence") < COHERENCE) & (F.col("share") > SHARE))
+    bad = stuffing_share(docs, text).filter(F.col("share") > SHARE)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.md5(F.col(text)).alias("h")).dropna().distinct()
     return rows.join(bad, "h").select("doc_id", "coherence", "share")
