@@ -30,15 +30,28 @@ def _grams(k: int) -> Column:
 def scan_exact(texts: DataFrame, ident: str, text: str, needles: DataFrame, needle: str) -> DataFrame:
     """(ident, needle, hits): whole-word occurrences of each needle.
 
-    Case, blanks and punctuation between words do not matter. Needles of more
-    than ``MOST_WORDS`` words are compared by their first words, then whole.
+    Case, blanks and punctuation between words do not matter. Texts emit the runs
+    of words of the lengths that occur among the needles, of up to ``MOST_WORDS``
+    words; longer needles meet on their first words and are compared whole,
+    with as many words of the text as they have.
     """
     n = needles.select(F.col(needle).alias("_needle")).dropna().distinct().withColumn("_nw", words(F.col("_needle"))).filter(F.size("_nw") > 0)
-    n = n.withColumn("_k", F.least(F.size("_nw"), F.lit(MOST_WORDS))).withColumn("_key", F.concat_ws(" ", F.slice("_nw", F.lit(1), F.col("_k"))))
+    n = n.withColumn("_k", F.least(F.size("_nw"), F.lit(MOST_WORDS))).withColumn("_n", F.size("_nw")).withColumn("_key", F.xxhash64(F.concat_ws(" ", F.slice("_nw", F.lit(1), F.col("_k")))))
+    # At most MOST_WORDS lengths of runs; the longest needle decides how many words go along.
+    lengths = sorted(r["_k"] for r in n.select("_k").distinct().collect())
+    most = n.agg(F.max("_n")).first()[0] or 0
+    n = n.withColumn("_whole", F.concat_ws(" ", "_nw"))
     t = texts.select(F.col(ident).alias("_id"), words(F.col(text)).alias("_tw")).filter(F.size("_tw") > 0)
-    every = F.flatten(F.array(*[_grams(k).cast("array<struct<_k:int,_i:int,_key:string>>") for k in range(1, MOST_WORDS + 1)]))
-    pos = t.select("_id", "_tw", F.explode(every).alias("_g")).select("_id", "_tw", "_g.*")
-    hit = pos.join(n, ["_k", "_key"]).filter(F.slice("_tw", F.col("_i"), F.size("_nw")) == F.col("_nw"))
+
+    def runs(k: int) -> Column:
+        take = k if k < MOST_WORDS else max(most, k)
+        at = F.sequence(F.lit(1), F.size("_tw") - (k - 1))
+        made = F.transform(at, lambda i: F.struct(F.lit(k).alias("_k"), F.xxhash64(F.concat_ws(" ", F.slice("_tw", i, F.lit(k)))).alias("_key"), F.concat_ws(" ", F.slice("_tw", i, F.lit(take))).alias("_here")))
+        return F.when(F.size("_tw") >= k, made).otherwise(F.array().cast("array<struct<_k:int,_key:bigint,_here:string>>"))
+
+    every = F.flatten(F.array(*[runs(k) for k in lengths])) if lengths else F.array().cast("array<struct<_k:int,_key:bigint,_here:string>>")
+    pos = t.select("_id", F.explode(every).alias("_g")).select("_id", "_g.*")
+    hit = pos.join(n, ["_k", "_key"]).filter(F.concat(F.col("_here"), F.lit(" ")).startswith(F.concat(F.col("_whole"), F.lit(" "))))
     return hit.groupBy(F.col("_id").alias(ident), F.col("_needle").alias("needle")).agg(F.count("*").alias("hits"))
 
 

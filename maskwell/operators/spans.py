@@ -14,6 +14,21 @@ from pyspark.sql import functions as F
 UNIT = ["document_id", "page", "field", "text_source_id"]
 
 
+def placed(matches: Column, gaps: Column) -> Column:
+    """array<struct<start_off, text>> of matches from the pieces around them, in one fold.
+
+    ``matches`` and ``gaps`` (one more) must be columns, not expressions, or the
+    pattern would run once a match.
+    """
+    none = F.array().cast("array<struct<start_off:int,text:string>>")
+    start = lambda acc, x: acc["at"] + F.length(x["g"])
+    step = lambda acc, x: F.when(x["m"].isNull(), acc).otherwise(
+        F.struct((start(acc, x) + F.length(x["m"])).alias("at"), F.array_append(acc["out"], F.struct(start(acc, x).alias("start_off"), x["m"].alias("text"))).alias("out"))
+    )
+    both = F.zip_with(gaps, matches, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
+    return F.aggregate(both, F.struct(F.lit(0).alias("at"), none.alias("out")), step)["out"]
+
+
 def regex_spans(df: DataFrame, text: str, pattern: str, *keep: str, trim: str = "") -> DataFrame:
     """(keep..., start_off, end_off, text) of every match of ``pattern``.
 
@@ -22,21 +37,9 @@ def regex_spans(df: DataFrame, text: str, pattern: str, *keep: str, trim: str =
     characters cut off the end of a match.
     """
     t = F.col(text)
-    m = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
     # RE split drops nothing at limit -1; element i is the gap before match i.
-    g = F.split(t, pattern, -1)
-    cols = df.select(*keep, m.alias("_m"), g.alias("_g")).filter(F.size("_m") > 0)
-    at = F.transform(
-        F.col("_m"),
-        lambda x, i: F.struct(
-            (
-                F.aggregate(F.slice(F.col("_g"), F.lit(1), i + 1), F.lit(0), lambda a, y: a + F.length(y))
-                + F.aggregate(F.slice(F.col("_m"), F.lit(1), i), F.lit(0), lambda a, y: a + F.length(y))
-            ).alias("start_off"),
-            x.alias("text"),
-        ),
-    )
-    out = cols.select(*keep, F.explode(at).alias("s")).select(*keep, "s.start_off", "s.text")
+    cols = df.select(*keep, F.regexp_extract_all(t, F.lit(pattern), F.lit(0)).alias("_m"), F.split(t, pattern, -1).alias("_g")).filter(F.size("_m") > 0)
+    out = cols.select(*keep, F.explode(placed(F.col("_m"), F.col("_g"))).alias("s")).select(*keep, "s.start_off", "s.text")
     if trim:
         out = out.withColumn("text", F.rtrim(F.col("text"), F.lit(trim)))
     return out.select(*keep, "start_off", (F.col("start_off") + F.length("text")).alias("end_off"), "text")
