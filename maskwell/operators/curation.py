@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,6 +70,15 @@ def span_issues(mentions: DataFrame, units: DataFrame) -> DataFrame:
     return both.select("mention_id", F.explode(checks).alias("issue"))
 
 
+def record_issues(mentions: DataFrame) -> DataFrame:
+    """(mention_id, issue) of the record itself: no entity, a person without a role, deliveries that name different entities."""
+    nobody = mentions.select("mention_id", "canonical_id").distinct().filter(F.col("canonical_id").isNull() | (F.trim("canonical_id") == ""))
+    plain = mentions.select("mention_id", "entity_type", "role").distinct().filter("entity_type = 'PERSON' AND role IS NULL")
+    differ = mentions.groupBy("mention_id").agg(F.countDistinct(F.coalesce("canonical_id", F.lit(""))).alias("n")).filter("n > 1")
+    parts = [(nobody, "no_entity"), (plain, "no_role"), (differ, "deliveries_differ")]
+    return reduce(DataFrame.union, [df.select("mention_id", F.lit(issue).alias("issue")) for df, issue in parts])
+
+
 def linked_groups(mentions: DataFrame) -> DataFrame:
     """(matter_id, entity_type, link_key, mention ids): the plain linker.
 
@@ -88,3 +99,27 @@ def linked_groups(mentions: DataFrame) -> DataFrame:
     rest = m.filter(~person).withColumn("link_key", F.col("t"))
     cols = ["matter_id", "entity_type", "entity_id", "link_key"]
     return full.select(*cols).union(single.select(*cols)).union(rest.select(*cols)).distinct()
+
+
+def renumbered(mentions: DataFrame) -> DataFrame:
+    """(mention_id, new_id): document/m_NNN by page, field, place and type; more digits from the 1,000th on."""
+    w = Window.partitionBy("document_id").orderBy(F.coalesce("page", F.lit(-1)), F.coalesce("field", F.lit("")), "start_off", "end_off", "entity_type", "mention_id")
+    return mentions.select("mention_id", F.concat(F.col("document_id"), F.lit("/m_"), F.format_string("%03d", F.row_number().over(w))).alias("new_id"))
+
+
+def dense_positions(df: DataFrame, *order: str, out: str = "r") -> DataFrame:
+    """``df`` with its place from 1 in the whole order, without one task for all rows: range partitions, their sizes, places inside."""
+    parts = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
+    # One row a partition.
+    before = sizes.join(sizes.select(F.col("_part").alias("_q"), F.col("_n").alias("_m")), F.col("_q") < F.col("_part"), "left").groupBy("_part").agg(F.coalesce(F.sum("_m"), F.lit(0)).alias("_before"))
+    w = Window.partitionBy("_part").orderBy(*order)
+    return parts.withColumn("_place", F.row_number().over(w)).join(F.broadcast(before), "_part").withColumn(out, (F.col("_before") + F.col("_place")).cast("long")).drop("_part", "_place", "_before")
+
+
+def registered(files: DataFrame, name: str, ident: str, digest: str) -> DataFrame:
+    """(name, ident, registered_id, hashes): names in order, one row each, with how many contents came under it."""
+    from maskwell.runtime import stage
+
+    one, _ = stage(files.groupBy(name).agg(F.min(ident).alias(ident), F.countDistinct(digest).alias("hashes")), "names")
+    return dense_positions(one, name, ident).select(name, ident, F.concat(F.lit("doc_"), F.format_string("%03d", F.col("r"))).alias("registered_id"), "hashes")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import unicodedata
 
 import pandas as pd
@@ -72,27 +70,25 @@ def bag_of_words(df: DataFrame, a: str, b: str, ident: str) -> DataFrame:
 def bootstrap_interval(groups: DataFrame, num: str, den: str, rounds: int = 1000, seed: str = "0", level: float = 0.95) -> DataFrame:
     """(estimate, low, high) of sum(num) / sum(den) resampled over rows.
 
-    ``groups`` is the small per-document summary; its size is checked. Draws
-    follow SHA-256, so every run gives the same interval.
+    Draws follow SHA-256 of seed, round and slot, so every run gives the same
+    interval. Rounds and slots are rows, hashed and summed in the cluster; only
+    the ``rounds`` results are ranked. An empty table gives one row of nulls.
     """
-    spark = groups.sparkSession
-    rows = groups.select(num, den).orderBy(num, den).limit(100_001).collect()
-    if len(rows) > 100_000:
-        raise ValueError("bootstrap over more than 100000 groups: summarise further")
-    k = len(rows)
-    values = []
-    for r in range(rounds if k else 0):
-        a = b = 0
-        for s in range(k):
-            i = int(hashlib.sha256(f"{seed}|{r}|{s}".encode()).hexdigest()[:12], 16) % k
-            a, b = a + (rows[i][0] or 0), b + (rows[i][1] or 0)
-        if b:
-            values.append(a / b)
-    values.sort()
-    total = sum(r[1] or 0 for r in rows)
-    pick = lambda q: float(values[min(len(values) - 1, int(q * len(values)))]) if values else None
-    est = float(sum(r[0] or 0 for r in rows) / total) if total else None
-    return spark.createDataFrame([(est, pick((1 - level) / 2), pick((1 + level) / 2))], "estimate double, low double, high double")
+    from maskwell.operators.curation import dense_positions
+    from maskwell.runtime import stage
+
+    plain = groups.select(F.coalesce(num, F.lit(0)).alias("_a"), F.coalesce(den, F.lit(0)).alias("_b"), F.monotonically_increasing_id().alias("_u"))
+    rows, _ = stage(dense_positions(stage(plain, "groups")[0], "_a", "_b", "_u", out="_i"), "slots")
+    total = rows.agg(F.count("*").alias("_k"), F.sum("_a").alias("_sa"), F.sum("_b").alias("_sb"))
+    slots = rows.select((F.col("_i") - 1).alias("_s")).crossJoin(F.broadcast(total.select("_k"))).withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
+    drawn = slots.select("_r", (F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(seed), F.col("_r").cast("string"), F.col("_s").cast("string")), 256), 1, 12), 16, 10).cast("long") % F.col("_k") + 1).alias("_i"))
+    # A row is drawn many times; its draws are counted before the join.
+    drawn = drawn.groupBy("_r", "_i").agg(F.count("*").alias("_n")).join(rows.select("_i", "_a", "_b"), "_i")
+    values = drawn.groupBy("_r").agg((F.sum(F.col("_n") * F.col("_a")) / F.nullif(F.sum(F.col("_n") * F.col("_b")), F.lit(0))).alias("v")).filter("v IS NOT NULL")
+    ranked = values.agg(F.array_sort(F.collect_list("v")).alias("v"))
+    pick = lambda q: F.get("v", F.least(F.size("v") - 1, F.floor(F.lit(q) * F.size("v"))).cast("int"))
+    tail = (1 - level) / 2
+    return ranked.crossJoin(F.broadcast(total)).select((F.col("_sa") / F.nullif(F.col("_sb"), F.lit(0))).cast("double").alias("estimate"), pick(round(tail, 12)).alias("low"), pick(round(1 - tail, 12)).alias("high"))
 
 
 def page_quality(words: DataFrame, key: list[str], low: float = 60.0) -> DataFrame:

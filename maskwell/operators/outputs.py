@@ -18,9 +18,9 @@ from maskwell.functions.keyed import hmac_hex
 from maskwell.operators.spans import edited_texts
 
 
-def output_offsets(edits: DataFrame, key: list[str]) -> DataFrame:
+def output_offsets(edits: DataFrame, key: list[str], order: list[str] | None = None) -> DataFrame:
     """``edits`` with out_start and out_end: where each replacement stands in the output."""
-    w = Window.partitionBy(*key).orderBy("start_off", "end_off", "replacement").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy(*key).orderBy(*(order or ["start_off", "end_off", "replacement"])).rowsBetween(Window.unboundedPreceding, -1)
     gain = F.length(F.coalesce("replacement", F.lit(""))) - (F.col("end_off") - F.col("start_off"))
     at = (F.col("start_off") + F.coalesce(F.sum(gain).over(w), F.lit(0))).cast("int")
     return edits.withColumn("out_start", at).withColumn("out_end", F.col("out_start") + F.length(F.coalesce("replacement", F.lit(""))))

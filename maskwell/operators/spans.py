@@ -6,6 +6,7 @@ comparisons on them are null-safe. Spans with a null bound take no part.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -110,13 +111,14 @@ def keep_best(df: DataFrame, order: list[Column], key: list[str] = UNIT) -> Data
     return rows.select(*key, F.explode(kept).alias("k")).select(*key, *[F.col(f"k.{c}") for c in cols])
 
 
-def match_one_to_one(a: DataFrame, b: DataFrame, a_id: str, b_id: str, key: list[str] = UNIT) -> DataFrame:
+def match_one_to_one(a: DataFrame, b: DataFrame, a_id: str, b_id: str, key: list[str] = UNIT, allowed: Callable[[DataFrame, DataFrame], Column] | None = None) -> DataFrame:
     """Greedy one-to-one pairs by falling overlap, then IoU, then position.
 
     Returns (a_id, b_id, overlap). Each unit is decided in one array of its
-    overlapping pairs.
+    overlapping pairs, of those that ``allowed`` admits.
     """
-    both = overlap_join(a, b, "inner", key)
+    on = same_unit(a, b, key) & overlaps(a, b)
+    both = a.join(b, on & allowed(a, b) if allowed else on)
     inter = F.least(a["end_off"], b["end_off"]) - F.greatest(a["start_off"], b["start_off"])
     iou = F.round(inter / (F.greatest(a["end_off"], b["end_off"]) - F.least(a["start_off"], b["start_off"])), 6)
     pair = F.struct(

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwell.functions import boxes, checks, dates, keyed, strings
@@ -32,6 +32,11 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _latest_words() -> Column:
+    """Words of the last delivery of a page."""
+    return F.max_by("words", F.coalesce("delivered_at", F.expr("timestamp '1970-01-01 00:00:00'"))).alias("words")
+
+
 def _gold(spark: SparkSession, base: str) -> DataFrame:
     g = table(spark, base, "gold_mention", "mention_id", "document_id", "page", "field", "text_source_id", "start_off", "end_off", "entity_type")
     return g.filter("start_off IS NOT NULL").distinct()
@@ -102,10 +107,6 @@ def overlap_join(spark: SparkSession, base: str) -> DataFrame:
     return both.select(g["mention_id"], e["edit_id"], (F.least(g["end_off"], e["end_off"]) - F.greatest(g["start_off"], e["start_off"])).alias("chars"))
 
 
-# The rules the SQL beside audit_pool_anti and rule_recall states; the queries run all of them.
-_RULE_NAMES = ["email", "date.dmy", "phone.mobile", "claim", "abn", "titled"]
-
-
 def _predicted(spark: SparkSession, base: str) -> DataFrame:
     """Rule spans of every page with the text unit they stand in."""
     pages = table(spark, base, "page_extraction", "page_id", "document_id", "page", "text_source_id", "text").dropDuplicates(["page_id", "text"])
@@ -116,7 +117,7 @@ def _predicted(spark: SparkSession, base: str) -> DataFrame:
 
 _P = (
     "(SELECT s.page_id, s.rule, s.entity_type, s.start_off, s.end_off, u.document_id, u.page, CAST(NULL AS VARCHAR) AS field, u.text_source_id FROM ("
-    + _scan_sql("(SELECT DISTINCT page_id, text FROM page_extraction)", "page_id", _RULE_NAMES)
+    + _scan_sql("(SELECT DISTINCT page_id, text FROM page_extraction)", "page_id", list(rules.RULES))
     + ") s JOIN (SELECT DISTINCT page_id, document_id, page, text_source_id FROM page_extraction) u ON s.page_id = u.page_id)"
 )
 
@@ -161,14 +162,13 @@ def covered_characters(spark: SparkSession, base: str) -> DataFrame:
     return spans.covered_length(_gold(spark, base), "mention_id", _edits(spark, base))
 
 
-@query(
-    "SELECT page_id, start_off, end_off FROM (SELECT *, lead(start_off) OVER (PARTITION BY page_id ORDER BY start_off, end_off) AS nxt FROM (SELECT DISTINCT page_id, start_off, end_off FROM ("
-    + _scan_sql("page_extraction", "page_id", ["address.street", "titled", "phone.mobile", "abn"])
-    + "))) WHERE nxt < end_off"
-)
+@query(f"""
+SELECT document_id, page, field, text_source_id, start_off, end_off FROM (SELECT *, lead(start_off) OVER (PARTITION BY document_id, page, field, text_source_id ORDER BY start_off, end_off) AS nxt
+ FROM (SELECT document_id, page, field, text_source_id, start_off, end_off FROM {_G} UNION SELECT document_id, page, field, text_source_id, start_off, end_off FROM {_E})) WHERE nxt < end_off""")
 def neighbour_overlaps(spark: SparkSession, base: str) -> DataFrame:
-    found = rules.rule_spans(table(spark, base, "page_extraction", "page_id", "text"), "page_id", "text", "address.street", "titled", "phone.mobile", "abn")
-    return spans.neighbour_overlaps(found.select("page_id", "start_off", "end_off").distinct(), ["page_id"])
+    """Annotations and edits, taken together, that run into the next of their unit."""
+    cols = [*spans.UNIT, "start_off", "end_off"]
+    return spans.neighbour_overlaps(_gold(spark, base).select(*cols).union(_edits(spark, base).select(*cols)).distinct())
 
 
 @query()
@@ -282,18 +282,18 @@ def bag_of_words_sources(spark: SparkSession, base: str) -> DataFrame:
 
 @query("""
 SELECT page_id, count(*) AS n_words, round(avg(conf), 2) AS mean_conf, CASE WHEN count(conf) > 0 THEN round(sum(CASE WHEN conf < 90 THEN 1 ELSE 0 END) / count(conf), 4) END AS low_frac
-FROM (SELECT page_id, w.conf AS conf FROM (SELECT page_id, unnest(words) AS w FROM (SELECT page_id, any_value(words) AS words FROM page_extraction WHERE words IS NOT NULL GROUP BY page_id))) GROUP BY page_id""")
+FROM (SELECT page_id, w.conf AS conf FROM (SELECT page_id, unnest(words) AS w FROM (SELECT page_id, arg_max(words, coalesce(delivered_at, TIMESTAMP '1970-01-01')) AS words FROM page_extraction WHERE words IS NOT NULL GROUP BY page_id))) GROUP BY page_id""")
 def page_quality(spark: SparkSession, base: str) -> DataFrame:
-    p = table(spark, base, "page_extraction", "page_id", "words").filter("words IS NOT NULL").groupBy("page_id").agg(F.first("words").alias("words"))
+    p = table(spark, base, "page_extraction", "page_id", "words", "delivered_at").filter("words IS NOT NULL").groupBy("page_id").agg(_latest_words())
     return metrics.page_quality(layout.page_words(p, "page_id"), ["page_id"], 90.0)
 
 
 @query("""
-WITH w AS (SELECT page_id, u.idx AS idx, u.conf AS conf FROM (SELECT page_id, unnest(words) AS u FROM (SELECT page_id, any_value(words) AS words FROM page_extraction WHERE words IS NOT NULL GROUP BY page_id))),
+WITH w AS (SELECT page_id, u.idx AS idx, u.conf AS conf FROM (SELECT page_id, unnest(words) AS u FROM (SELECT page_id, arg_max(words, coalesce(delivered_at, TIMESTAMP '1970-01-01')) AS words FROM page_extraction WHERE words IS NOT NULL GROUP BY page_id))),
 p AS (SELECT page_id, avg(conf) AS mean_conf FROM w GROUP BY page_id), g AS (SELECT unnest([80, 85, 90, 95]) AS threshold)
 SELECT threshold, CAST(sum(CASE WHEN mean_conf < threshold THEN 1 ELSE 0 END) AS BIGINT) AS flagged, count(*) AS pages FROM p, g GROUP BY threshold""")
 def gate_threshold_sweep(spark: SparkSession, base: str) -> DataFrame:
-    p = table(spark, base, "page_extraction", "page_id", "words").filter("words IS NOT NULL").groupBy("page_id").agg(F.first("words").alias("words"))
+    p = table(spark, base, "page_extraction", "page_id", "words", "delivered_at").filter("words IS NOT NULL").groupBy("page_id").agg(_latest_words())
     mean = layout.page_words(p, "page_id").groupBy("page_id").agg(F.avg("conf").alias("mean_conf"))
     grid = F.explode(F.array(*[F.lit(t) for t in (80, 85, 90, 95)])).alias("threshold")
     return mean.select("mean_conf", grid).groupBy("threshold").agg(F.sum((F.col("mean_conf") < F.col("threshold")).cast("int")).alias("flagged"), F.count("*").alias("pages")).fillna(0, ["flagged"])
@@ -304,23 +304,23 @@ def gate_threshold_sweep(spark: SparkSession, base: str) -> DataFrame:
 
 @query("""
 SELECT page_id, w.block AS block, w.line AS line, min(w.bbox.x0) AS x0, min(w.bbox.y0) AS y0, max(w.bbox.x1) AS x1, max(w.bbox.y1) AS y1, count(*) AS n_words
-FROM (SELECT page_id, unnest(words) AS w FROM (SELECT page_id, any_value(words) AS words FROM page_extraction WHERE words IS NOT NULL GROUP BY page_id)) GROUP BY 1, 2, 3""")
+FROM (SELECT page_id, unnest(words) AS w FROM (SELECT page_id, arg_max(words, coalesce(delivered_at, TIMESTAMP '1970-01-01')) AS words FROM page_extraction WHERE words IS NOT NULL GROUP BY page_id)) GROUP BY 1, 2, 3""")
 def line_boxes(spark: SparkSession, base: str) -> DataFrame:
-    p = table(spark, base, "page_extraction", "page_id", "words").filter("words IS NOT NULL").groupBy("page_id").agg(F.first("words").alias("words"))
+    p = table(spark, base, "page_extraction", "page_id", "words", "delivered_at").filter("words IS NOT NULL").groupBy("page_id").agg(_latest_words())
     return layout.line_boxes(layout.page_words(p, "page_id"), ["page_id"])
 
 
 @query("SELECT page_id, text FROM (SELECT DISTINCT page_id, text, words FROM page_extraction) WHERE words IS NOT NULL AND len(words) > 0 GROUP BY page_id, text")
 def assembled_pages(spark: SparkSession, base: str) -> DataFrame:
-    p = table(spark, base, "page_extraction", "page_id", "words").filter("words IS NOT NULL").groupBy("page_id").agg(F.first("words").alias("words"))
+    p = table(spark, base, "page_extraction", "page_id", "words", "delivered_at").filter("words IS NOT NULL").groupBy("page_id").agg(_latest_words())
     return layout.assembled(layout.page_words(p, "page_id"), ["page_id"])
 
 
 @query("""
 SELECT page_id, idx, start_off, end_off, coalesce(sum(length(text) + 1) OVER (PARTITION BY page_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_at
-FROM (SELECT page_id, w.idx AS idx, w.text AS text, w.start_off AS start_off, w.end_off AS end_off FROM (SELECT page_id, unnest(words) AS w FROM (SELECT page_id, any_value(words) AS words FROM page_extraction WHERE words IS NOT NULL GROUP BY page_id)))""")
+FROM (SELECT page_id, w.idx AS idx, w.text AS text, w.start_off AS start_off, w.end_off AS end_off FROM (SELECT page_id, unnest(words) AS w FROM (SELECT page_id, arg_max(words, coalesce(delivered_at, TIMESTAMP '1970-01-01')) AS words FROM page_extraction WHERE words IS NOT NULL GROUP BY page_id)))""")
 def word_offsets(spark: SparkSession, base: str) -> DataFrame:
-    p = table(spark, base, "page_extraction", "page_id", "words").filter("words IS NOT NULL").groupBy("page_id").agg(F.first("words").alias("words"))
+    p = table(spark, base, "page_extraction", "page_id", "words", "delivered_at").filter("words IS NOT NULL").groupBy("page_id").agg(_latest_words())
     return layout.offsets(layout.page_words(p, "page_id"), ["page_id"]).select("page_id", "idx", "start_off", "end_off", "start_at")
 
 
@@ -335,15 +335,19 @@ def latest_delivery(spark: SparkSession, base: str) -> DataFrame:
 
 
 @query("""
-WITH f AS (SELECT document_id, min(split) AS h FROM manifest_document GROUP BY 1), c AS (SELECT document_id, max(split) AS h FROM manifest_document GROUP BY 1)
-SELECT document_id, 'changed' AS change FROM f JOIN c USING (document_id) WHERE f.h IS DISTINCT FROM c.h""")
+WITH d AS (SELECT document_id, max(sha256) AS f, arg_max({'h': sha256}, {'t': delivered_at, 'h': coalesce(sha256, '')}).h AS c FROM manifest_document WHERE delivered_at IS NOT NULL GROUP BY 1)
+SELECT document_id, CASE WHEN c IS NULL THEN 'missing' WHEN f IS NULL THEN 'added' ELSE 'changed' END AS change FROM d WHERE f IS DISTINCT FROM c""")
 def hash_changes(spark: SparkSession, base: str) -> DataFrame:
-    m = table(spark, base, "manifest_document", "document_id", "split")
-    return curation.hash_changes(m.groupBy("document_id").agg(F.min("split").alias("h")), m.groupBy("document_id").agg(F.max("split").alias("h")), "document_id", "h")
+    """The hash known of every document against that of its last delivery."""
+    m = table(spark, base, "manifest_document", "document_id", "sha256", "delivered_at").filter("delivered_at IS NOT NULL")
+    at = F.struct("delivered_at", F.coalesce("sha256", F.lit("")))
+    both = m.groupBy("document_id").agg(F.struct(F.max("sha256").alias("sha256")).alias("f"), F.max_by(F.struct("sha256"), at).alias("c"))
+    first, last = (both.select("document_id", F.col(f"{x}.sha256").alias("h")).filter("h IS NOT NULL") for x in "fc")
+    return curation.hash_changes(first, last, "document_id", "h")
 
 
 @query("""
-SELECT DISTINCT matter_id, entity_type, group_id, matter_id || '/' || lower(entity_type) || '_' || CASE WHEN r < 1000 THEN lpad(r::VARCHAR, 3, '0') ELSE substr(r::VARCHAR, 1, 3) END AS opaque_id
+SELECT DISTINCT matter_id, entity_type, group_id, matter_id || '/' || lower(entity_type) || '_' || CASE WHEN r < 1000 THEN lpad(r::VARCHAR, 3, '0') ELSE r::VARCHAR END AS opaque_id
 FROM (SELECT *, dense_rank() OVER (PARTITION BY matter_id, entity_type ORDER BY group_id) AS r FROM link_group)""")
 def opaque_ids(spark: SparkSession, base: str) -> DataFrame:
     g = table(spark, base, "link_group", "matter_id", "entity_type", "group_id").distinct()
@@ -369,10 +373,14 @@ def largest_remainder(spark: SparkSession, base: str) -> DataFrame:
 WITH u AS (SELECT DISTINCT document_id, page, text_source_id, text AS unit FROM page_extraction), m AS (SELECT DISTINCT mention_id, document_id, page, text_source_id, start_off, end_off, text FROM gold_mention),
 j AS (SELECT m.*, u.unit FROM m LEFT JOIN u ON m.document_id = u.document_id AND m.page = u.page AND m.text_source_id = u.text_source_id WHERE m.start_off IS NOT NULL)
 SELECT mention_id, 'empty_span' AS issue FROM j WHERE start_off >= end_off UNION ALL SELECT mention_id, 'unknown_unit' FROM j WHERE unit IS NULL
+UNION ALL SELECT mention_id, 'no_entity' FROM (SELECT DISTINCT mention_id, canonical_id FROM gold_mention) WHERE canonical_id IS NULL OR trim(canonical_id) = ''
+UNION ALL SELECT mention_id, 'no_role' FROM (SELECT DISTINCT mention_id, entity_type, role FROM gold_mention) WHERE entity_type = 'PERSON' AND role IS NULL
+UNION ALL SELECT mention_id, 'deliveries_differ' FROM (SELECT mention_id, count(DISTINCT coalesce(canonical_id, '')) AS n FROM gold_mention GROUP BY 1) WHERE n > 1
 UNION ALL SELECT mention_id, 'out_of_range' FROM j WHERE end_off > length(unit) UNION ALL SELECT mention_id, 'text_differs' FROM j WHERE substr(unit, start_off + 1, end_off - start_off) <> text""")
 def span_issues(spark: SparkSession, base: str) -> DataFrame:
     m = table(spark, base, "gold_mention", "mention_id", "document_id", "page", "text_source_id", "start_off", "end_off", "text")
-    return curation.span_issues(m, table(spark, base, "page_extraction", "document_id", "page", "text_source_id", "text"))
+    placed = curation.span_issues(m, table(spark, base, "page_extraction", "document_id", "page", "text_source_id", "text"))
+    return placed.union(curation.record_issues(table(spark, base, "gold_mention", "mention_id", "entity_type", "role", "canonical_id")))
 
 
 @query("SELECT entity_id AS ident, count(*) AS deliveries FROM syn_hybrid GROUP BY 1 HAVING count(*) > 1")
@@ -416,16 +424,47 @@ def phone_classes(spark: SparkSession, base: str) -> DataFrame:
     return g.withColumn("number_class", strings.phone_class("text"))
 
 
+def _phones(spark: SparkSession, base: str) -> DataFrame:
+    return table(spark, base, "gold_mention", "document_id", "entity_type", "text").filter("entity_type = 'PHONE' AND text IS NOT NULL").select("document_id", "text").distinct()
+
+
+@query("""
+SELECT 'phones' AS name, count(*) AS n FROM (SELECT DISTINCT document_id, text FROM gold_mention WHERE entity_type = 'PHONE' AND text IS NOT NULL)
+UNION ALL SELECT 'phones neither reserved nor placeholder', 0 UNION ALL SELECT 'phones that share a surrogate', 0 UNION ALL SELECT 'medicare surrogates that pass', 0
+UNION ALL SELECT 'surnames that share a surrogate', 0 UNION ALL SELECT 'surnames', count(*) FROM (SELECT DISTINCT matter_id, unnest(surnames) AS v FROM link_group) WHERE matter_id IS NOT NULL AND v IS NOT NULL""")
+def surrogate_invariants(spark: SparkSession, base: str) -> DataFrame:
+    """What must hold of issued surrogates, counted over all rows."""
+    phones = phone_surrogates(spark, base)
+    odd = phones.filter(~surrogates.is_reserved_phone("surrogate") & (F.col("surrogate") != "[PHONE]"))
+    national = F.regexp_replace(checks.digits_only("surrogate"), "^61", "0")
+    given = phones.filter("surrogate <> '[PHONE]'").groupBy("document_id", national.alias("s")).agg(F.countDistinct(F.regexp_replace(checks.digits_only("text"), "^61", "0")).alias("k")).filter("k > 1")
+    passing = unusable_numbers(spark, base).filter(checks.medicare_valid("surrogate"))
+    names = issued_surnames(spark, base)
+    twice = names.groupBy("matter_id", "surrogate").agg(F.countDistinct("value").alias("k")).filter("k > 1")
+    rows = [("phones", phones), ("phones neither reserved nor placeholder", odd), ("phones that share a surrogate", given), ("medicare surrogates that pass", passing), ("surnames that share a surrogate", twice), ("surnames", names)]
+    out = None
+    for name, df in rows:
+        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+        out = one if out is None else out.union(one)
+    return out
+
+
 @query()
 def phone_surrogates(spark: SparkSession, base: str) -> DataFrame:
-    g = table(spark, base, "gold_mention", "document_id", "entity_type", "text").filter("entity_type = 'PHONE' AND text IS NOT NULL").select("document_id", "text").distinct()
-    return g.withColumn("surrogate", surrogates.reserved_phone("text", KEY, "document_id"))
+    return surrogates.issued_phones(_phones(spark, base), KEY, "document_id", "text")
+
+
+def _surname_pool(spark: SparkSession) -> DataFrame:
+    """Invented surnames made by rule: a head and an ending each."""
+    heads = ["Ard", "Bel", "Cor", "Dal", "Ester", "Fal", "Gar", "Hol", "Ing", "Jor", "Kel", "Lor", "Mor", "Nor", "Orm", "Pel"]
+    tails = ["amere", "bourne", "combe", "dene", "enwick", "ghyll", "hithe", "isle"]
+    return spark.createDataFrame([("surname", h + t) for h in heads for t in tails], "kind string, surrogate string")
 
 
 @query()
 def issued_surnames(spark: SparkSession, base: str) -> DataFrame:
     g = table(spark, base, "link_group", "matter_id", "surnames").select("matter_id", F.explode("surnames").alias("value")).withColumn("kind", F.lit("surname"))
-    pool = table(spark, base, "nation", "n_name").select(F.lit("surname").alias("kind"), F.initcap("n_name").alias("surrogate"))
+    pool = surrogates.free_pool(_surname_pool(spark), table(spark, base, "syn_hybrid", "text"), "surrogate", "text")
     return surrogates.issue(g, pool, KEY)
 
 
@@ -448,12 +487,11 @@ def completed_years(spark: SparkSession, base: str) -> DataFrame:
 # Leak scans ------------------------------------------------------------------------
 
 
-@query("""
+@query(r"""
 WITH n AS (SELECT DISTINCT regexp_replace(text, '[^0-9]', '', 'g') AS d FROM gold_mention WHERE entity_type IN ('TFN', 'MEDICARE', 'PHONE') AND text IS NOT NULL),
-t AS (SELECT doc_id, regexp_replace(unnest(regexp_extract_all(text, '[0-9](?:[ \\-]?[0-9]){7,}')), '[^0-9]', '', 'g') AS d FROM documents)
-SELECT DISTINCT doc_id, d AS needle FROM t JOIN n USING (d) WHERE length(d) >= 8""")
+t AS (SELECT DISTINCT doc_id, regexp_replace(x, '[^0-9]', '', 'g') AS r FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9][0-9 \-/.]{4,}[0-9]')) AS x FROM documents))
+SELECT DISTINCT doc_id, d AS needle FROM t JOIN n ON contains(t.r, n.d) WHERE length(d) >= 6""")
 def leaked_digits(spark: SparkSession, base: str) -> DataFrame:
-    """The SQL compares whole runs of 8 digits or more and so finds less: needles inside longer runs or of 6 digits are not in it."""
     n = table(spark, base, "gold_mention", "entity_type", "text").filter(F.col("entity_type").isin("TFN", "MEDICARE", "PHONE"))
     return needles.scan_digits(table(spark, base, "documents", "doc_id", "text"), "doc_id", "text", n, "text")
 
@@ -475,31 +513,6 @@ def exported_spans(spark: SparkSession, base: str) -> DataFrame:
     return exported(_gold(spark, base).select("document_id", "page", "text_source_id", "start_off", "end_off", "entity_type"), ["document_id"])
 
 
-@query("""
-SELECT a.mention_id AS id_a, b.mention_id AS id_b FROM (SELECT DISTINCT mention_id, document_id, page, text_source_id, start_off, end_off, entity_type FROM gold_mention WHERE start_off IS NOT NULL) a
-JOIN (SELECT DISTINCT mention_id, document_id, page, text_source_id, start_off, end_off, entity_type FROM gold_mention WHERE start_off IS NOT NULL) b
-ON a.document_id = b.document_id AND a.page = b.page AND a.text_source_id = b.text_source_id AND a.mention_id < b.mention_id AND a.start_off < b.end_off AND b.start_off < a.end_off
-WHERE a.entity_type <> b.entity_type OR abs(a.start_off - b.start_off) > 0 OR abs(a.end_off - b.end_off) > 0""")
-def annotation_disagreements(spark: SparkSession, base: str) -> DataFrame:
-    g = _gold(spark, base).drop("field").distinct()
-    key = ["document_id", "page", "text_source_id"]
-    b = g.select(*[F.col(c).alias(f"b_{c}") for c in g.columns])
-    cond = [g[k] == b[f"b_{k}"] for k in key]
-    near = g.join(b, cond).filter("mention_id < b_mention_id AND start_off < b_end_off AND b_start_off < end_off")
-    return near.filter("entity_type <> b_entity_type OR start_off <> b_start_off OR end_off <> b_end_off").select(F.col("mention_id").alias("id_a"), F.col("b_mention_id").alias("id_b"))
-
-
-@query()
-def line_overlaps(spark: SparkSession, base: str) -> DataFrame:
-    """Share of each line box of one source that a line box of another source of the page covers."""
-    p = table(spark, base, "page_extraction", "page_id", "document_id", "page", "words").filter("words IS NOT NULL").groupBy("page_id", "document_id", "page").agg(F.first("words").alias("words"))
-    lines = layout.line_boxes(layout.page_words(p, "page_id", "document_id", "page"), ["page_id", "document_id", "page"])
-    a = lines.select("document_id", "page", F.col("page_id").alias("page_a"), boxes.make("x0", "y0", "x1", "y1").alias("a"))
-    b = lines.select("document_id", "page", F.col("page_id").alias("page_b"), boxes.make("x0", "y0", "x1", "y1").alias("b"))
-    share = a.join(b, ["document_id", "page"]).filter("page_a < page_b").withColumn("f", boxes.overlap_fraction(F.col("a"), F.col("b")))
-    return share.filter("f > 0").groupBy("page_a", "page_b").agg(F.count("*").alias("pairs"), F.round(F.avg("f"), 6).alias("mean_share"))
-
-
 # Context, combination, recovery ------------------------------------------------------
 
 
@@ -554,17 +567,6 @@ def surface_recovery(spark: SparkSession, base: str) -> DataFrame:
     return both.groupBy("mention_id").agg(F.count("*").alias("sources"), F.sum(F.col("t").contains(F.lower("text")).cast("int")).alias("recovered"))
 
 
-@query("""
-WITH p AS (SELECT DISTINCT a.page_id AS ident, split_part(a.text, chr(10), 1) AS ref, split_part(b.text, chr(10), 1) AS hyp FROM page_extraction a JOIN page_extraction b ON a.document_id = b.document_id AND a.page = b.page AND a.page_id < b.page_id)
-SELECT ident, CASE WHEN length(ref) = 0 THEN CASE WHEN length(hyp) > 0 THEN 1.0 END ELSE round(levenshtein(ref, hyp) / length(ref), 6) END AS cer FROM p WHERE regexp_full_match(ref || hyp, '[ -~]*')""")
-def first_line_error_rate(spark: SparkSession, base: str) -> DataFrame:
-    """A check of the rate against SQL: plain ASCII first lines only. Whole texts are in ``text_error_rate``."""
-    p = table(spark, base, "page_extraction", "page_id", "document_id", "page", "text").withColumn("line", F.substring_index("text", "\n", 1))
-    b = p.select("document_id", "page", F.col("page_id").alias("other"), F.col("line").alias("hyp"))
-    both = p.join(b, ["document_id", "page"]).filter("page_id < other").select(F.col("page_id").alias("ident"), F.col("line").alias("ref"), "hyp").distinct()
-    return both.filter(F.concat("ref", "hyp").rlike("^[ -~]*$")).select("ident", metrics.error_rate(F.col("ref"), F.col("hyp")).alias("cer"))
-
-
 @query()
 def text_error_rate(spark: SparkSession, base: str) -> DataFrame:
     """(ident, other, cer) of the whole texts of every pair of sources of a page."""
@@ -596,16 +598,20 @@ def spans_digest(spark: SparkSession, base: str) -> DataFrame:
 
 
 @query("""
-WITH w AS (SELECT page_id, u.block AS block, u.line AS line, u.idx AS idx, u.bbox.x0 AS x0, u.bbox.x1 AS x1 FROM (SELECT page_id, unnest(words) AS u FROM (SELECT page_id, any_value(words) AS words FROM page_extraction WHERE words IS NOT NULL GROUP BY page_id))),
+WITH w AS (SELECT page_id, u.block AS block, u.line AS line, u.idx AS idx, u.bbox.x0 AS x0, u.bbox.x1 AS x1 FROM (SELECT page_id, unnest(words) AS u FROM (SELECT page_id, arg_max(words, coalesce(delivered_at, TIMESTAMP '1970-01-01')) AS words FROM page_extraction WHERE words IS NOT NULL GROUP BY page_id))),
 n AS (SELECT *, CASE WHEN x0 - lag(x1) OVER (PARTITION BY page_id, block, line ORDER BY idx) <= 4 THEN 0 ELSE 1 END AS fresh FROM w),
 c AS (SELECT *, sum(fresh) OVER (PARTITION BY page_id, block, line ORDER BY idx ROWS UNBOUNDED PRECEDING) AS cell FROM n)
 SELECT page_id, block, line, CAST(cell AS BIGINT) AS cell, min(idx) AS first_idx, max(idx) AS last_idx FROM c GROUP BY 1, 2, 3, 4""")
 def line_cells(spark: SparkSession, base: str) -> DataFrame:
-    p = table(spark, base, "page_extraction", "page_id", "words").filter("words IS NOT NULL").groupBy("page_id").agg(F.first("words").alias("words"))
+    p = table(spark, base, "page_extraction", "page_id", "words", "delivered_at").filter("words IS NOT NULL").groupBy("page_id").agg(_latest_words())
     return layout.cells(layout.page_words(p, "page_id"), ["page_id"], 4.0)
 
 
-@query()
+@query(f"""
+WITH g AS (SELECT row_number() OVER (ORDER BY hit, n) - 1 AS i, hit, n FROM (SELECT document_id, sum(hit) AS hit, count(*) AS n FROM {_OUT} GROUP BY 1)), k AS (SELECT count(*) AS k FROM g),
+d AS (SELECT r, CAST('0x' || substr(sha256('0|' || r || '|' || s), 1, 12) AS BIGINT) % k AS i FROM k, range(0, 200) a(r), range(0, (SELECT k FROM k)) b(s)),
+v AS (SELECT r, sum(hit) / sum(n) AS v FROM d JOIN g USING (i) GROUP BY r HAVING sum(n) > 0), o AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS p, count(*) OVER () AS m FROM v)
+SELECT (SELECT sum(hit) / sum(n) FROM g) AS estimate, (SELECT v FROM o WHERE p = least(m - 1, floor(0.025 * m))) AS low, (SELECT v FROM o WHERE p = least(m - 1, floor(0.975 * m))) AS high""")
 def recall_interval(spark: SparkSession, base: str) -> DataFrame:
     per = _outcomes(spark, base).groupBy("document_id").agg(F.sum("hit").alias("hit"), F.count("*").alias("n"))
     return metrics.bootstrap_interval(per, "hit", "n", 200)
@@ -621,31 +627,28 @@ def email_addresses(spark: SparkSession, base: str) -> DataFrame:
 
 @query()
 def passing_attempts(spark: SparkSession, base: str) -> DataFrame:
-    p = table(spark, base, "page_extraction", "page_id", "document_id", "page", "words").filter("words IS NOT NULL").groupBy("page_id", "document_id", "page").agg(F.first("words").alias("words"))
+    p = table(spark, base, "page_extraction", "page_id", "document_id", "page", "words", "delivered_at").filter("words IS NOT NULL").groupBy("page_id", "document_id", "page").agg(_latest_words())
     mean = layout.page_words(p, "page_id", "document_id", "page").groupBy("document_id", "page", "page_id").agg(F.avg("conf").alias("mean_conf"))
     rung = metrics.running_rank(mean, ["document_id", "page"], [F.col("page_id")], "rung")
     return detection.ladder(rung, ["document_id", "page"], 92.0)
 
 
-@query("""
-SELECT DISTINCT mention_id, text, CASE
- WHEN regexp_full_match(text, '[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}') THEN try_strptime(text, '%d/%m/%Y')::DATE
- WHEN regexp_full_match(text, '[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN try_strptime(text, '%Y-%m-%d')::DATE
- ELSE coalesce(try_strptime(replace(text, chr(10), ' '), '%d %B %Y'), try_strptime(replace(text, chr(10), ' '), '%d %b %Y'))::DATE END AS day
-FROM gold_mention WHERE entity_type = 'DATE' AND regexp_full_match(text, '[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[ \n][A-Z][a-z]+[ \n][0-9]{4}')""")
+@query()
 def parsed_dates(spark: SparkSession, base: str) -> DataFrame:
-    g = table(spark, base, "gold_mention", "mention_id", "entity_type", "text").filter("entity_type = 'DATE'").select("mention_id", "text").distinct()
-    plain = g.filter(F.col("text").rlike(r"^(?:[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[ \n][A-Z][a-z]+[ \n][0-9]{4})$"))
-    return plain.withColumn("day", dates.parsed("text"))
+    g = table(spark, base, "gold_mention", "mention_id", "entity_type", "text").filter("entity_type IN ('DATE', 'DATE_OF_BIRTH')").select("mention_id", "text").distinct()
+    return g.withColumn("day", dates.parsed("text"))
 
 
 @query()
 def unusable_numbers(spark: SparkSession, base: str) -> DataFrame:
-    g = table(spark, base, "gold_mention", "document_id", "entity_type", "text").filter(F.col("entity_type").isin("TFN", "MEDICARE") & F.col("text").isNotNull()).distinct()
-    tfn = surrogates.with_unusable(g.filter("entity_type = 'TFN'"), "text", "tfn", KEY, "document_id")
-    return tfn.union(surrogates.with_unusable(g.filter("entity_type = 'MEDICARE'"), "text", "medicare", KEY, "document_id"))
+    """Medicare numbers with surrogates that fail their check digit; tax file numbers are redacted and get none."""
+    g = table(spark, base, "gold_mention", "document_id", "entity_type", "text").filter((F.col("entity_type") == "MEDICARE") & F.col("text").isNotNull()).distinct()
+    return surrogates.with_unusable(g, "text", "medicare", KEY, "document_id")
 
 
 def flagship(spark: SparkSession, base: str) -> DataFrame:
     """Candidates of every text rule over all pages, resolved to non-overlapping spans."""
     return resolved_candidates(spark, base)
+
+
+from maskwell.plans import measures  # noqa: E402, F401

@@ -126,8 +126,13 @@ def test_surrogates_are_injective_and_reserved(spark):
     pool = spark.createDataFrame([("surname", s) for s in ("Ash", "Birch", "Cole", "Dunn")], "kind string, surrogate string")
     got = surrogates.issue(vals, pool, b"k").collect()
     assert len(got) == 30 and len({r["surrogate"] for r in got}) >= 20
-    phone = one(spark, "p string", ("0491 999 123",), surrogates.reserved_phone("p", b"k"))[0]
-    assert phone.startswith("0491 570 ") and len(phone) == 12
+    nums = ["0491 999 123", "+61 491 999 124", "(02) 9555 1234", "(07) 9555 1234", "1300 111 222", "13 12 34", "no number", None] + [f"0400 000 {i:03d}" for i in range(60)]
+    got = {r["p"]: r for r in surrogates.issued_phones(spark.createDataFrame([("m", n) for n in nums], "m string, p string"), b"k", "m", "p").withColumn("ok", surrogates.is_reserved_phone("surrogate")).collect()}
+    real = [r for p, r in got.items() if p not in ("13 12 34", "no number")]
+    assert all(r["ok"] for r in real) and len({re.sub(r"\D", "", r["surrogate"]).replace("61491", "0491") for r in real}) == len(real)
+    assert got["(07) 9555 1234"]["surrogate"].startswith("(07) ") and got["1300 111 222"]["surrogate"].startswith("1300 975 7") and got["13 12 34"]["surrogate"] == "[PHONE]"
+    plate = one(spark, "p string", ("AB-12 cd",), surrogates.format_preserving("p", b"k"))[0]
+    assert re.fullmatch(r"[A-Z]{2}-\d\d [a-z]{2}", plate) and plate != "AB-12 cd"
     days = one(spark, "b date", (dt.date(1980, 6, 15),), surrogates.born_same_year(F.col("b"), F.array(F.lit(dt.date(2020, 6, 14)), F.lit(dt.date(2021, 6, 16)))))[0]
     assert days and all(d.year == 1980 and d.month == 6 for d in days)
 
@@ -247,6 +252,8 @@ def test_written_dates(spark):
 def test_surrogate_numbers_never_pass_their_check(spark):
     df = spark.createDataFrame([("123 456 782",), ("459-599-230",), ("",), (None,)], "x string").coalesce(1)
     rows = surrogates.with_unusable(df, "x", "tfn", b"k", out="s").withColumn("ok", checks.tfn_valid("s")).collect()
+    many = spark.range(3000).select(F.concat(F.lit("2"), F.lpad((F.col("id") * 7919 % 1000000).cast("string"), 7, "0"), F.lpad(F.col("id").cast("string"), 2, "1")).alias("x"))
+    assert surrogates.with_unusable(many, "x", "medicare", b"k", out="s").filter(checks.medicare_valid("s")).count() == 0
     assert not any(r["ok"] for r in rows) and re.fullmatch(r"\d{3} \d{3} \d{3}", rows[0]["s"]) and re.fullmatch(r"\d{3}-\d{3}-\d{3}", rows[1]["s"])
 
 
