@@ -61,12 +61,12 @@ def provider_valid(col: Column | str) -> Column:
 
 def luhn_valid(col: Column | str) -> Column:
     d = digits_only(col)
-    return F.when(d == "", F.lit(False)).otherwise(F.luhn_check(d))
+    return F.when(d == "", F.lit(False)).otherwise(F.call_function("luhn_check", d))
 
 
 def ihi_valid(col: Column | str) -> Column:
     d = digits_only(col)
-    return (F.length(d) == 16) & d.startswith("800360") & F.luhn_check(d)
+    return (F.length(d) == 16) & d.startswith("800360") & F.call_function("luhn_check", d)
 
 
 VALIDATORS = {"tfn": tfn_valid, "abn": abn_valid, "acn": acn_valid, "medicare": medicare_valid, "provider_number": provider_valid, "ihi": ihi_valid}

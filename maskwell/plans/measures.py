@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwell.operators import curation, detection, detector, evaluation, geometry, layout, outputs, policy, spans, surrogates
+from maskwell.functions import births, text
+from maskwell.operators import curation, detection, detector, evaluation, forms, geometry, layout, outputs, policy, replacement, spans, surrogates
 from maskwell.plans.registry import _E, _G, _ISLES, KEY, _edits, _gold, _hmac_sql, query
 from maskwell.sources.tables import table
 
@@ -396,3 +397,82 @@ def registered_names(spark: SparkSession, base: str) -> DataFrame:
     """Sources in order of name, one each, with the number of different contents delivered under it."""
     m = table(spark, base, "manifest_document", "document_id", "source_name_sha256", "sha256").filter("source_name_sha256 IS NOT NULL")
     return curation.registered(m, "source_name_sha256", "document_id", "sha256")
+
+
+# Parts of values -----------------------------------------------------------------
+
+
+@query()
+def form_values(spark: SparkSession, base: str) -> DataFrame:
+    """Values of forms by where they stand to their labels, over the last words of every page."""
+    p = table(spark, base, "page_extraction", "page_id", "words", "delivered_at").filter("words IS NOT NULL")
+    last = p.groupBy("page_id").agg(F.max_by("words", F.coalesce("delivered_at", F.expr("timestamp '1970-01-01 00:00:00'"))).alias("words"))
+    return forms.form_values(last, "page_id")
+
+
+def _pool(spark: SparkSession) -> DataFrame:
+    """Invented names made by rule: heads and endings for each kind."""
+    heads = ["Ard", "Bel", "Cor", "Dal", "Ester", "Fal", "Gar", "Hol", "Ing", "Jor", "Kel", "Lor", "Mor", "Nor", "Orm", "Pel"]
+    tails = {"surname": ["amere", "bourne", "combe", "enwick"], "given": ["an", "elle", "ix", "o"], "organisation": ["mark", "bridge", "gate"], "street": ["wren", "low", "fern"], "suburb": ["vale", "ton", "beach"]}
+    return spark.createDataFrame([(k, h + t) for k, ts in tails.items() for h in heads for t in ts], "kind string, surrogate string")
+
+
+@query()
+def name_surrogates(spark: SparkSession, base: str) -> DataFrame:
+    s = table(spark, base, "syn_hybrid", "matter_id", "entity_type", "text").filter("entity_type = 'PERSON'")
+    return replacement.name_surrogates(s, _pool(spark), KEY)
+
+
+@query()
+def organisation_surrogates(spark: SparkSession, base: str) -> DataFrame:
+    s = table(spark, base, "syn_hybrid", "matter_id", "entity_type", "text").filter("entity_type = 'ORGANIZATION'")
+    return replacement.organisation_surrogates(s, _pool(spark), KEY)
+
+
+def _addresses(spark: SparkSession, base: str) -> DataFrame:
+    return table(spark, base, "gold_mention", "document_id", "entity_type", "text").filter("entity_type = 'ADDRESS' AND text IS NOT NULL").select("document_id", "text").distinct()
+
+
+@query()
+def address_surrogates(spark: SparkSession, base: str) -> DataFrame:
+    return replacement.address_surrogates(_addresses(spark, base), _pool(spark), KEY, "document_id")
+
+
+_SHORT = "|".join(detector.STATES)
+
+
+@query(
+    "SELECT DISTINCT document_id, text, coalesce(nullif(regexp_extract(text, '\\b(" + _SHORT + ")\\b', 1), ''), CASE "
+    + " ".join(f"WHEN contains(lower(text), '{n.lower()}') THEN '{k}'" for k, n in detector.STATES.items())
+    + " END, CASE regexp_extract(text, '\\b(\\d)\\d{3}\\s*$', 1) WHEN '2' THEN 'NSW' WHEN '3' THEN 'VIC' WHEN '4' THEN 'QLD' WHEN '5' THEN 'SA' WHEN '6' THEN 'WA' WHEN '7' THEN 'TAS' WHEN '0' THEN 'NT' END) AS state FROM gold_mention WHERE entity_type = 'ADDRESS' AND text IS NOT NULL"
+)
+def address_states(spark: SparkSession, base: str) -> DataFrame:
+    return _addresses(spark, base).withColumn("state", replacement.state_of("text"))
+
+
+@query()
+def rewritten_births(spark: SparkSession, base: str) -> DataFrame:
+    """Dates of birth with a keyed day of the same year and age, in the form they were written."""
+    g = table(spark, base, "gold_mention", "document_id", "entity_type", "text").filter("entity_type IN ('DATE_OF_BIRTH', 'DATE') AND text IS NOT NULL").select("document_id", "text").distinct()
+    from maskwell.functions import dates
+
+    day = g.withColumn("born", dates.parsed("text")).filter("born IS NOT NULL")
+    new = surrogates.issued_birth_day(F.col("born"), F.array().cast("array<date>"), KEY, "document_id")
+    return day.withColumn("day", new).select("document_id", "text", "day", births.rewritten("text", "day").alias("surrogate"))
+
+
+@query()
+def folded_names(spark: SparkSession, base: str) -> DataFrame:
+    s = table(spark, base, "syn_hybrid", "entity_id", "text").distinct()
+    return s.select("entity_id", "text", text.normalised("text").alias("folded"))
+
+
+@query(r"""
+WITH u AS (SELECT document_id, page, text_source_id, min(text) AS unit FROM page_extraction GROUP BY 1, 2, 3), m AS (SELECT DISTINCT mention_id, document_id, page, text_source_id, start_off AS p FROM gold_mention WHERE start_off IS NOT NULL)
+SELECT mention_id, p - length(regexp_extract(substr(unit, 1, p), '([^.!?
+]*)$', 1)) AS s_start, p + length(regexp_extract(substr(unit, p + 1), '^([^.!?
+]*[.!?]?)', 1)) AS s_end FROM m JOIN u USING (document_id, page, text_source_id)""")
+def mention_sentences(spark: SparkSession, base: str) -> DataFrame:
+    m = table(spark, base, "gold_mention", "mention_id", *geometry.SOURCE, "start_off").filter("start_off IS NOT NULL").distinct()
+    u = table(spark, base, "page_extraction", *geometry.SOURCE, "text").groupBy(*geometry.SOURCE).agg(F.min("text").alias("unit"))
+    return m.join(u, geometry.SOURCE).select("mention_id", text.sentence_bounds("unit", "start_off").alias("b")).select("mention_id", F.col("b.start").alias("s_start"), F.col("b.end").alias("s_end"))

@@ -335,15 +335,13 @@ def latest_delivery(spark: SparkSession, base: str) -> DataFrame:
 
 
 @query("""
-WITH d AS (SELECT document_id, max(sha256) AS f, arg_max({'h': sha256}, {'t': delivered_at, 'h': coalesce(sha256, '')}).h AS c FROM manifest_document WHERE delivered_at IS NOT NULL GROUP BY 1)
-SELECT document_id, CASE WHEN c IS NULL THEN 'missing' WHEN f IS NULL THEN 'added' ELSE 'changed' END AS change FROM d WHERE f IS DISTINCT FROM c""")
+WITH p AS (SELECT document_id || '/' || page AS ident, method, md5(min(text)) AS h FROM page_extraction WHERE method IN ('text_layer', 'ocr') AND text IS NOT NULL AND document_id IS NOT NULL AND page IS NOT NULL GROUP BY 1, 2), a AS (SELECT * FROM p WHERE method = 'text_layer'), b AS (SELECT * FROM p WHERE method = 'ocr')
+SELECT coalesce(a.ident, b.ident) AS ident, CASE WHEN b.h IS NULL THEN 'missing' WHEN a.h IS NULL THEN 'added' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.ident = b.ident WHERE a.h IS DISTINCT FROM b.h""")
 def hash_changes(spark: SparkSession, base: str) -> DataFrame:
-    """The hash known of every document against that of its last delivery."""
-    m = table(spark, base, "manifest_document", "document_id", "sha256", "delivered_at").filter("delivered_at IS NOT NULL")
-    at = F.struct("delivered_at", F.coalesce("sha256", F.lit("")))
-    both = m.groupBy("document_id").agg(F.struct(F.max("sha256").alias("sha256")).alias("f"), F.max_by(F.struct("sha256"), at).alias("c"))
-    first, last = (both.select("document_id", F.col(f"{x}.sha256").alias("h")).filter("h IS NOT NULL") for x in "fc")
-    return curation.hash_changes(first, last, "document_id", "h")
+    """Pages by the hash of their text: the text layers as the frozen state, the scans as the current one."""
+    p = table(spark, base, "page_extraction", "document_id", "page", "method", "text").dropna()
+    one = p.groupBy(F.concat_ws("/", "document_id", "page").alias("ident"), "method").agg(F.md5(F.min("text")).alias("h"))
+    return curation.hash_changes(one.filter("method = 'text_layer'"), one.filter("method = 'ocr'"), "ident", "h")
 
 
 @query("""
