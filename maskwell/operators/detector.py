@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from maskwell.functions import digits as dg
 from maskwell.operators.spans import keep_best
+from maskwell.runtime import spread
 
 Cand = tuple[int, int, str, str, int, float, dict]
 
@@ -285,7 +286,7 @@ _CAND = "start_off int, end_off int, entity_type string, rule string, tier int,
 
 def candidates(texts: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """(keep..., start_off, end_off, entity_type, rule, tier, confidence, attributes as JSON, text): one pass over the texts."""
-    rows = texts.select(*keep, F.col(text).alias("_t")).filter("_t IS NOT NULL AND _t <> ''").distinct()
+    rows = spread(texts.select(*keep, F.col(text).alias("_t")).filter("_t IS NOT NULL AND _t <> ''"))
     schema = ", ".join(f"`{c}` {texts.schema[c].dataType.simpleString()}" for c in keep) + f", {_CAND}, text string"
     names = [*keep, "start_off", "end_off", "entity_type", "rule", "tier", "confidence", "attributes", "text"]
 
@@ -297,7 +298,8 @@ def candidates(texts: DataFrame, keep: list[str], text: str = "text") -> DataFra
             if out:
                 yield pd.DataFrame(out, columns=names)
 
-    return rows.mapInPandas(read, schema)
+    # Repeated rows are told by what was found in them, so that no text is shuffled.
+    return rows.mapInPandas(read, schema).distinct()
 
 
 def name_seeds(found: DataFrame, scope: str) -> DataFrame:
@@ -360,7 +362,7 @@ def audit_scan(texts: DataFrame, keep: list[str], text: str = "text") -> DataFra
     Digit runs that satisfy a check digit (the first scheme by name), and
     capitalised words inside sentences.
     """
-    rows = texts.select(*keep, F.col(text).alias("_t")).filter("_t IS NOT NULL AND _t <> ''").distinct()
+    rows = spread(texts.select(*keep, F.col(text).alias("_t")).filter("_t IS NOT NULL AND _t <> ''"))
     schema = ", ".join(f"`{c}` {texts.schema[c].dataType.simpleString()}" for c in keep) + ", start_off int, end_off int, rule string, text string"
 
     def read(batches):
@@ -375,4 +377,5 @@ def audit_scan(texts: DataFrame, keep: list[str], text: str = "text") -> DataFra
             if out:
                 yield pd.DataFrame(out, columns=[*keep, "start_off", "end_off", "rule", "text"])
 
-    return rows.mapInPandas(read, schema)
+    # Repeated rows are told by what was found in them, so that no text is shuffled.
+    return rows.mapInPandas(read, schema).distinct()

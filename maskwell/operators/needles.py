@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from maskwell.runtime import spread
+
 MOST_WORDS = 6
 # Characters that recognition confuses, and punctuation around words.
 CONFUSED = ("01i|58", "olllsb")
@@ -41,7 +43,7 @@ def scan_exact(texts: DataFrame, ident: str, text: str, needles: DataFrame, need
     lengths = sorted(r["_k"] for r in n.select("_k").distinct().collect())
     most = n.agg(F.max("_n")).first()[0] or 0
     n = n.withColumn("_whole", F.concat_ws(" ", "_nw"))
-    t = texts.select(F.col(ident).alias("_id"), words(F.col(text)).alias("_tw")).filter(F.size("_tw") > 0)
+    t = spread(texts.select(F.col(ident).alias("_id"), F.col(text).alias("_t"))).select("_id", words(F.col("_t")).alias("_tw")).filter(F.size("_tw") > 0)
 
     def runs(k: int) -> Column:
         take = k if k < MOST_WORDS else max(most, k)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskwell.operators.spans import placed
+from maskwell.runtime import spread
 
 # Full names before their short forms, of three letters and for September also four.
 MONTHS = "|".join([*calendar.month_name[1:], "Sept", *(a for a, n in zip(calendar.month_abbr[1:], calendar.month_name[1:]) if a != n)])
@@ -44,5 +45,5 @@ def rule_spans(df: DataFrame, ident: str, text: str, *names: str) -> DataFrame:
     one = lambda i, n: F.transform(
         placed(F.col(f"_m{i}"), F.col(f"_g{i}")), lambda s: F.struct(F.lit(n).alias("rule"), F.lit(RULES[n][0]).alias("entity_type"), F.lit(RULES[n][1]).alias("tier"), s["start_off"].alias("start_off"), s["text"].alias("text"))
     )
-    found = df.filter(t.isNotNull()).select(ident, *cols).select(ident, F.explode(F.flatten(F.array(*[one(i, n) for i, n in enumerate(names)]))).alias("s"))
+    found = spread(df.select(ident, text).filter(t.isNotNull())).select(ident, *cols).select(ident, F.explode(F.flatten(F.array(*[one(i, n) for i, n in enumerate(names)]))).alias("s"))
     return found.select(ident, "s.rule", "s.entity_type", "s.tier", "s.start_off", (F.col("s.start_off") + F.length("s.text")).alias("end_off"), "s.text")

@@ -89,3 +89,14 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     finally:
         for path in _SCOPES.pop():
             drop_staged(spark, path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files give fewer partitions than there are; large inputs stay as they are read.
+
+    Frames that are more than a scan stay too, as asking for their partitions would run them.
+    """
+    if df.isStreaming or "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
