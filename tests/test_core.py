@@ -296,6 +296,54 @@ def test_short_and_several_word_names_are_searched(spark, tmp_path):
     }
 
 
+def test_near_names_shuffle_only_runs_near_a_needle(spark, tmp_path):
+    base = str(tmp_path)
+    rng = random.Random(9)
+    letters = "abeilnorstvw015|é"
+    made = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(4, 8)))
+    names = ["van Dijken", "van der Bergen", "O'Brien", "St. John-Ward", "Wilson", "Li", *(made() for _ in range(30))]
+
+    def misread() -> str:
+        x, k = rng.choice(names), rng.random()
+        i = rng.randrange(len(x))
+        return x if k < 0.2 else x[:i] + (rng.choice(letters) if k < 0.6 else "") + x[i + (k < 0.8) :]
+
+    said = [misread() for _ in range(300)]
+    pages = [(i, " ".join(rng.choice(["({}),", "{}\n", "{}."]).format(said.pop() if said and rng.random() < 0.1 else made()) for _ in range(60))) for i in range(400)] + [(None, "Wi1son"), (400, None), (1, "")]
+    spark.createDataFrame([(names,), (names,), (None,), ([None, ""],)], "surnames array<string>").write.parquet(f"{base}/link_group.parquet")
+    spark.createDataFrame(pages, "page_id long, text string").write.parquet(f"{base}/page_extraction.parquet")
+    fold = str.maketrans(*needles.CONFUSED)
+
+    def close(a: str, b: str) -> bool:
+        a, b = sorted((a.translate(fold), b.translate(fold)), key=len)
+        if len(b) - len(a) > 1:
+            return False
+        i = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+        return a[i + (len(a) == len(b)) :] == b[i + 1 :] or a == b
+
+    def readings(x: str) -> list[list[str]]:
+        return [[z for y in x.lower().split() if (z := y.strip(".,;:()\"'"))], re.findall(r"[^\W_]+", x.lower())]
+
+    forms = {(" ".join(x.lower().split()), " ".join(w), len(w)) for x in names for w in [x.lower().split(), *readings(x)]}
+    forms = {f for f in forms if len(f[0]) >= 6 and len(f[1]) >= 6}
+    want = set()
+    for page, text in pages:
+        runs = {(" ".join(w[i : i + k]), k) for w in readings(text or "") for k in {f[2] for f in forms} for i in range(len(w) - k + 1)}
+        want |= {(page, n, r) for r, k in runs if len(r) >= 5 for n, f, fk in forms if fk == k and close(f, r) and (n, r) not in {x[:2] for x in forms}}
+    store = spark.sparkContext._jsc.sc().statusStore()
+    quantiles = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+
+    def shuffled() -> int:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = store.stageList(None, False, False, quantiles, None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = shuffled()
+    got = [tuple(r) for r in registry.QUERIES["near_names"](spark, base).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and {"van dijken", "van der bergen", "o'brien"} <= {n for _, n, _ in want} and (None, "wilson", "wi1son") in want
+    assert shuffled() - before < 12_000  # there are some 24,000 words
+
+
 def test_digits_inside_longer_runs_are_found(spark, tmp_path):
     base = str(tmp_path)
     spark.createDataFrame([("PHONE", "0412 345 678"), ("PHONE", "13 12 34"), ("TFN", "123 456 782"), ("PHONE", "12345"), ("DATE", "2020")], "entity_type string, text string").write.parquet(f"{base}/gold_mention.parquet")
