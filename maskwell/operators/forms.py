@@ -4,15 +4,17 @@ A page is a list of lines of words with boxes; a line is cut into cells at gaps
 wider than a few characters. A label is the longest known label that the first
 words of a cell spell, allowing for misread letters. Its value is the rest of
 the cell, else the next cell of the line if near, else the cell right below.
-Pages are folded one at a time; no wider group is made.
+Pages are folded one at a time where they are read; no wider group is made, and
+words are never shuffled.
 """
 
 from __future__ import annotations
 
 import re
 from difflib import SequenceMatcher
+from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,16 +36,47 @@ def label_text(text: str) -> str:
     return re.sub(r"\s+", " ", re.sub(r"[^a-z ]", " ", text.lower().translate(_MISREAD))).strip()
 
 
+@lru_cache(1 << 15)
+def _plain(word: str) -> str:
+    return label_text(word)
+
+
+@lru_cache(16)
+def _shapes(labels: tuple[str, ...]) -> tuple[list[tuple[str, int, frozenset[str]]], float]:
+    """Labels with their lengths and letters; the length of the longest text that can be alike to one."""
+    return [(x, len(x), frozenset(x)) for x in labels], max(map(len, labels), default=0) * (2 / LIKE - 1) + 1
+
+
+@lru_cache(1 << 15)
+def _alike(text: str, labels: tuple[str, ...]) -> str | None:
+    """The label most like a text, if they are alike and it has six letters; compared only where lengths and letters allow it."""
+    n, chars = len(text), set(text)
+    best = (0.0, "")
+    for x, m, other in _shapes(labels)[0]:
+        if 2.0 * min(n, m) / (n + m) < LIKE or 2.0 * min(n - len(chars - other), m - len(other - chars)) / (n + m) < LIKE:
+            continue
+        ratio = SequenceMatcher(None, text, x).ratio()
+        if ratio >= LIKE:
+            best = max(best, (ratio, x))
+    return best[1] if len(best[1]) >= 6 else None
+
+
 def matched_label(words: list[str], labels: dict[str, str] = LABELS) -> tuple[int, str] | None:
     """(words taken, label) of the longest label the first five words spell, alike from six letters on."""
-    for k in range(min(5, len(words)), 0, -1):
-        text = label_text(" ".join(words[:k]))
+    known = tuple(labels)
+    longest, text, texts = _shapes(known)[1], "", []
+    for w in words[:5]:
+        part = _plain(w)
+        text = f"{text} {part}" if text and part else text or part
+        if len(text) > longest:
+            break
+        texts.append(text)
+    for k in range(len(texts), 0, -1):
+        text = texts[k - 1]
         if text in labels:
             return k, text
-        if len(text) >= 6:
-            best = max(labels, key=lambda x: (SequenceMatcher(None, text, x).ratio(), x))
-            if len(best) >= 6 and SequenceMatcher(None, text, best).ratio() >= LIKE:
-                return k, best
+        if len(text) >= 6 and (best := _alike(text, known)):
+            return k, best
     return None
 
 
@@ -65,83 +98,109 @@ def valid_value(kind: str, text: str) -> bool:
     return bool(re.fullmatch(r"[^\d]*[^\W\d_]{2}[^\d]*", text))
 
 
-def value_words(lines: list[list[list[dict]]], li: int, ci: int, k: int) -> list[dict]:
-    """The words that answer the label of cell ``ci`` of line ``li``, which took ``k`` words; at most eight."""
+# A word: its number, text, box, block, line and offsets.
+IDX, TEXT, X0, X1, Y0, BLOCK, LINE, START, END = range(9)
+_FIELDS = ("idx", "text", "bbox.x0", "bbox.x1", "bbox.y0", "block", "line", "start_off", "end_off")
+_NEEDED = (IDX, TEXT, X0, X1, Y0, START, END)
+_VALUES = pa.list_(pa.struct([("start_off", pa.int32()), ("end_off", pa.int32()), ("entity_type", pa.string()), ("label", pa.string()), ("run", pa.int32()), ("confidence", pa.float64())]))
+
+
+def value_words(lines: list[list[list[tuple]]], hits: list[list[tuple[int, str] | None]], li: int, ci: int, k: int) -> list[tuple]:
+    """The words that answer the label of cell ``ci`` of line ``li``, which took ``k`` words; at most eight. ``hits`` has the labels of all cells."""
     cell = lines[li][ci]
-    rest = [w for w in cell[k:] if re.search(r"\w", w["text"])]
+    rest = [w for w in cell[k:] if re.search(r"\w", w[TEXT])]
     if rest:
         return rest[:MOST_WORDS]
-    right = cell[-1]["x1"]
-    for other in lines[li][ci + 1 :]:
-        if other[0]["x0"] - right > FAR:
+    right = cell[-1][X1]
+    for other, hit in zip(lines[li][ci + 1 :], hits[li][ci + 1 :]):
+        if other[0][X0] - right > FAR:
             break
-        if not matched_label([w["text"] for w in other]):
+        if not hit:
             return other[:MOST_WORDS]
         break
-    for below in lines[li + 1 : li + 3]:
-        for other in below:
-            near = 0 <= other[0]["y0"] - cell[0]["y0"] <= BELOW and abs(other[0]["x0"] - cell[0]["x0"]) <= 12
-            if near and not matched_label([w["text"] for w in other]):
+    for below, found in zip(lines[li + 1 : li + 3], hits[li + 1 : li + 3]):
+        for other, hit in zip(below, found):
+            near = 0 <= other[0][Y0] - cell[0][Y0] <= BELOW and abs(other[0][X0] - cell[0][X0]) <= 12
+            if near and not hit:
                 return other[:MOST_WORDS]
     return []
 
 
-def page_values(words: list[dict], labels: dict[str, str] = LABELS, gap: float = 2.5) -> list[tuple[int, int, str, str, int]]:
+def page_values(words: list[tuple], labels: dict[str, str] = LABELS, gap: float = 2.5) -> list[tuple[int, int, str, str, int]]:
     """(start, end, type, label, run) of the values of one page; words apart in the text make runs of one value."""
-    words = sorted((w for w in words if w["text"]), key=lambda w: w["idx"])
+    words = sorted((w for w in words if w[TEXT]), key=lambda w: w[IDX])
     if not words:
         return []
-    width = sorted((w["x1"] - w["x0"]) / len(w["text"]) for w in words)[len(words) // 2] or 5.0
-    by_line: dict[tuple, list[dict]] = {}
+    width = sorted([(w[X1] - w[X0]) / len(w[TEXT]) for w in words])[len(words) // 2] or 5.0
+    by_line: dict[tuple, list[tuple]] = {}
     for w in words:
-        by_line.setdefault((w["block"], w["line"]), []).append(w)
+        by_line.setdefault((w[BLOCK], w[LINE]), []).append(w)
     lines = []
     for row in by_line.values():
         cells = [[row[0]]]
         for w in row[1:]:
-            if w["x0"] - cells[-1][-1]["x1"] > gap * width:
+            if w[X0] - cells[-1][-1][X1] > gap * width:
                 cells.append([])
             cells[-1].append(w)
         lines.append(cells)
+    hits = [[matched_label([w[TEXT] for w in cell[:5]], labels) for cell in cells] for cells in lines]
     out = []
-    for li, cells in enumerate(lines):
-        for ci, cell in enumerate(cells):
-            hit = matched_label([w["text"] for w in cell], labels)
+    for li, found in enumerate(hits):
+        for ci, hit in enumerate(found):
             if not hit:
                 continue
-            value = value_words(lines, li, ci, hit[0])
+            value = value_words(lines, hits, li, ci, hit[0])
             kind = labels[hit[1]]
-            if not value or not valid_value(kind, " ".join(w["text"] for w in value)):
+            if not value or not valid_value(kind, " ".join(w[TEXT] for w in value)):
                 continue
             run = 0
             start = value[0]
             last = value[0]
             for w in value[1:]:
-                if w["idx"] != last["idx"] + 1:
-                    out.append((start["start_off"], last["end_off"], kind, hit[1], run))
+                if w[IDX] != last[IDX] + 1:
+                    out.append((start[START], last[END], kind, hit[1], run))
                     run, start = run + 1, w
                 last = w
-            out.append((start["start_off"], last["end_off"], kind, hit[1], run))
+            out.append((start[START], last[END], kind, hit[1], run))
     return sorted(set(out))
 
 
-def form_values(pages: DataFrame, ident: str) -> DataFrame:
-    """(ident, start_off, end_off, entity_type, label, run, confidence) of pages that carry ``words``; others give nothing."""
-    kind = pages.schema[ident].dataType.simpleString()
-    fields = ["idx", "text", "x0", "y0", "x1", "y1", "block", "line", "start_off", "end_off"]
-    w = F.transform("words", lambda x: F.struct(x["idx"], x["text"], x["bbox"]["x0"].alias("x0"), x["bbox"]["y0"].alias("y0"), x["bbox"]["x1"].alias("x1"), x["bbox"]["y1"].alias("y1"), x["block"], x["line"], x["start_off"], x["end_off"]))
-    rows = pages.filter("words IS NOT NULL").select(F.col(ident), w.alias("w"))
+def _page_words(lists: list[pa.ListArray]) -> list[list[tuple]]:
+    """The words of each row, from one list a field; words without number, text, box or offsets have no place and are passed over."""
+    columns, holes = [], False
+    for i, x in enumerate(lists):
+        flat = x.flatten()
+        holes |= bool(flat.null_count) and i in _NEEDED
+        columns.append(flat.to_pylist() if flat.null_count else flat.to_numpy(zero_copy_only=False).tolist())
+    every, out, at = list(zip(*columns)), [], 0
+    for n in lists[0].value_lengths().to_pylist():
+        out.append(every[at : at + n])
+        at += n
+    return [[w for w in ws if all(w[i] is not None for i in _NEEDED)] for ws in out] if holes else out
+
+
+def form_values(pages: DataFrame, ident: str, at: str | None = None) -> DataFrame:
+    """(ident, start_off, end_off, entity_type, label, run, confidence) of pages that carry ``words``; others give nothing.
+
+    Of rows of one ident only the last by ``at`` counts, if given; of those of one
+    time the one whose values sort last. Every row is read and the choice is made
+    among the values, so that no words move.
+    """
+    rows = pages.filter("words IS NOT NULL").select(F.col(ident), (F.col(at) if at else F.lit(0)).alias("_at"), *[F.col(f"words.{x}").alias(f"_w{i}") for i, x in enumerate(_FIELDS)])
 
     def read(batches):
-        for b in batches:
-            out = []
-            for key, ws in zip(b[ident], b["w"]):
-                plain = [dict(zip(fields, x.values())) if isinstance(x, dict) else dict(zip(fields, x)) for x in ws]
-                out += [(key, *v, 0.65 if v[2] == "PERSON" else 0.85) for v in page_values(plain)]
-            if out:
-                yield pd.DataFrame(out, columns=[ident, "start_off", "end_off", "entity_type", "label", "run", "confidence"])
-
-    return rows.mapInPandas(read, f"`{ident}` {kind}, start_off int, end_off int, entity_type string, label string, run int, confidence double").distinct()
+        for whole in batches:
+            for i in range(0, whole.num_rows, 500):
+                b = whole.slice(i, 500)
+                values = [[(*v, 0.65 if v[2] == "PERSON" else 0.85) for v in page_values(ws)] for ws in _page_words(b.columns[2:])]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(values, _VALUES)], [ident, "_at", "_v"])
+
+    kind = {c: rows.schema[c].dataType.simpleString() for c in (ident, "_at")}
+    read_rows = rows.mapInArrow(read, f"`{ident}` {kind[ident]}, _at {kind['_at']}, _v array<struct<start_off:int,end_off:int,entity_type:string,label:string,run:int,confidence:double>>")
+    if at is None:
+        return read_rows.select(ident, F.explode("_v").alias("_v")).select(ident, "_v.*").distinct()
+    last = read_rows.groupBy(ident).agg(F.max(F.struct("_at", "_v")).alias("_r"))
+    return last.select(ident, F.explode("_r._v").alias("_v")).select(ident, "_v.*")
 
 
 def with_form_values(kept: DataFrame, values: DataFrame, key: list[str]) -> DataFrame:

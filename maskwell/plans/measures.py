@@ -405,9 +405,8 @@ def registered_names(spark: SparkSession, base: str) -> DataFrame:
 @query()
 def form_values(spark: SparkSession, base: str) -> DataFrame:
     """Values of forms by where they stand to their labels, over the last words of every page."""
-    p = table(spark, base, "page_extraction", "page_id", "words", "delivered_at").filter("words IS NOT NULL")
-    last = p.groupBy("page_id").agg(F.max_by("words", F.coalesce("delivered_at", F.expr("timestamp '1970-01-01 00:00:00'"))).alias("words"))
-    return forms.form_values(last, "page_id")
+    p = table(spark, base, "page_extraction", "page_id", "words", "delivered_at")
+    return forms.form_values(p.withColumn("at", F.coalesce("delivered_at", F.expr("timestamp '1970-01-01 00:00:00'"))), "page_id", "at")
 
 
 def _pool(spark: SparkSession) -> DataFrame:

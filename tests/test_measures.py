@@ -1,11 +1,13 @@
 import datetime as dt
 import random
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
 from maskwell.functions import births, digits, text
 from maskwell.operators import detector, evaluation, forms, geometry, outputs, policy, replacement, spans, surrogates
+from maskwell.plans import registry
 
 UNIT = "document_id string, page int, field string, text_source_id string"
 SPAN = f"{UNIT}, start_off int, end_off int, entity_type string, role string, action string"
@@ -211,6 +213,60 @@ def test_forms_are_read_by_place(spark):
     assert {(r["entity_type"], whole[r["start_off"] : r["end_off"]]) for r in got} == {("PERSON", "THORNE"), ("PERSON", "Edith May"), ("DATE_OF_BIRTH", "07/11/1985"), ("PHONE", "0491 570 158")}
 
 
+def test_form_words_are_not_shuffled_and_the_last_delivery_counts(spark, tmp_path):
+    rng = random.Random(4)
+
+    def page(surname: str, at: str | None) -> tuple:
+        parts = [("Surname:", 50.0, 0), (surname, 260.0, 0)] + [("".join(rng.choice("abcdefgh") for _ in range(7)), 50.0 + 60 * (i % 6), 1 + i // 6) for i in range(120)]
+        words, off = [], 0
+        for i, (w, x, line) in enumerate(parts):
+            words.append((i, w, (x, 100.0 + 30 * line, x + 7 * len(w), 112.0 + 30 * line), 0, line, off, off + len(w)))
+            off += len(w) + 1
+        return words, at
+
+    days = [None, "2020-01-01 00:00:00", "2020-01-02 00:00:00"]
+    rows = [(1, *page("THORNE", days[1])), (1, *page("9", days[2])), (2, *page("WREN", None)), (2, *page("ASHDALE", days[1])), (3, None, days[2]), (3, *page("PELORME", days[1])), (4, [], None), (None, *page("NOONE", None))]
+    rows += [(i, *page(f"N{'abcdefghij'[i % 10] * 3}", days[i % 3])) for i in range(5, 205)]
+    schema = f"page_id long, words array<struct<idx:int,text:string,bbox:{BOX},block:int,line:int,start_off:int,end_off:int>>, delivered_at string"
+    spark.createDataFrame(rows, schema).withColumn("delivered_at", F.col("delivered_at").cast("timestamp")).write.parquet(f"{tmp_path}/page_extraction.parquet")
+    store = spark.sparkContext._jsc.sc().statusStore()
+    quantiles = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+
+    def shuffled() -> int:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = store.stageList(None, False, False, quantiles, None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = shuffled()
+    got = sorted((r["page_id"] or 0, r["start_off"], r["end_off"], r["label"]) for r in registry.QUERIES["form_values"](spark, str(tmp_path)).collect())
+    assert got == [(0, 9, 14, "surname"), (2, 9, 16, "surname"), (3, 9, 16, "surname")] + [(i, 9, 13, "surname") for i in range(5, 205)]
+    assert shuffled() - before < 100_000  # the words take some 500,000
+
+
+def test_labels_are_matched_as_by_comparing_with_every_label():
+    rng = random.Random(6)
+    known = [*forms.LABELS]
+
+    def plain(words: list[str]) -> tuple[int, str] | None:
+        for k in range(min(5, len(words)), 0, -1):
+            text = forms.label_text(" ".join(words[:k]))
+            if text in known:
+                return k, text
+            if len(text) >= 6:
+                ratio, best = max((SequenceMatcher(None, text, x).ratio(), x) for x in known)
+                if len(best) >= 6 and ratio >= forms.LIKE:
+                    return k, best
+        return None
+
+    cells = [["Date", "0f", "birth:"], ["---", "Surname", "|"], ["Emails"], ["Telefone", "no"], [], ["x" * 400]]
+    for _ in range(1500):
+        text = list(" ".join(rng.sample(known, rng.choice([1, 1, 2]))))
+        for _ in range(rng.randrange(4)):
+            text[rng.randrange(len(text))] = rng.choice(["", "a", "1", " ", "é", "5", ":"])
+        cells.append("".join(text).title().split(" "))
+    assert [forms.matched_label(c) for c in cells] == [plain(c) for c in cells]
+
+
 def test_plain_text_functions(spark):
     assert text.folded("Ａ  ﬁ\nB") == "a fi b" and text.folded(None) is None
     t = "a𝄞b"
